@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +74,47 @@ def by_text(
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return run
+
+
+class Bloom:
+    """A filter of fixed size over 64-bit keys, built in Spark; it may pass other keys but never loses one.
+
+    Its size doesn't depend on the data, so it can be broadcast.  With more
+    keys than it is made for it passes more rows on, to exact operators.
+    """
+
+    BITS = 26
+
+    @classmethod
+    def of(cls, keys: DataFrame, column: str) -> bytes:
+        """At most 2**(BITS - 6) rows of 64 bits reach the driver."""
+        slot = F.shiftrightunsigned(F.xxhash64(column), 64 - cls.BITS)
+        bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+        found = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        out = np.zeros(1 << (cls.BITS - 6), np.int64)
+        out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        return out.tobytes()
+
+    @staticmethod
+    def opened(packed: bytes) -> np.ndarray:
+        return np.frombuffer(packed, np.uint64)
+
+    @classmethod
+    def holds(cls, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        slot = spark_xxhash64(keys) >> np.uint64(64 - cls.BITS)
+        return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def spark_xxhash64(keys: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's xxhash64 of a column of longs: XXH64 of the eight bytes."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+    with np.errstate(over="ignore"):
+        k = turned(keys.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        h = turned((np.uint64(seed) + p5 + np.uint64(8)) ^ k, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        return h ^ h >> np.uint64(32)
