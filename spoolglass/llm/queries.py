@@ -7,11 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spoolglass.llm.chaining import passages
+from spoolglass.llm.chat import as_reply_chain, format_conversations, read_back
 from spoolglass.llm.common import table
+from spoolglass.llm.decontamination import contamination
+from spoolglass.llm.language import identify
 from spoolglass.llm.piece_tokens import encode_decode
 from spoolglass.llm.quality import quality
+from spoolglass.llm.repeats import repeated_passages
 from spoolglass.llm.simhash import near_duplicates
 from spoolglass.llm.token_counts import count_tokens
+from spoolglass.llm.warc import archive_round_trip
 
 
 def vocabulary(name: str) -> str:
@@ -31,18 +37,121 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with exact passages of 50 words or more that are found twice or more."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+#: A conversation of control strings, which the template has to escape.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(as_reply_chain(rows.unionByName(control))))
+
+
+def op8_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more, 0.8 alike or more, that an earlier document has too."""
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item, size, array_to_string(words[i:i + size - 1], ' ') AS passage
+  FROM (SELECT item, words, least(10, len(words)) AS size,
+               unnest(range(1, len(words) - least(10, len(words)) + 2)) AS i
+        FROM items WHERE len(words) > 0)
+), doc_windows AS (
+  SELECT row_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS passage
+  FROM (SELECT row_id, words, size, unnest(range(1, CAST(len(words) - size + 2 AS BIGINT))) AS i
+        FROM docs, (SELECT DISTINCT size FROM item_windows) WHERE len(words) >= size)
+), found AS (
+  SELECT row_id, i, w.size, item FROM doc_windows d JOIN item_windows w ON d.passage = w.passage AND d.size = w.size
+), hits AS (
+  SELECT row_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT row_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT row_id, i, size FROM found)) GROUP BY 1
+), hit_items AS (
+  SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT row_id, item FROM found WHERE item IS NOT NULL) GROUP BY 1
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (row_id) LEFT JOIN hit_items USING (row_id)
+"""
+
+OP7_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, turn, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)
+), shaped AS (
+  SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS body,
+         replace(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\', '\\'), chr(10), '\n') AS head
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>' || head || chr(10) || body || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM shaped GROUP BY conv_id
+"""
+
+OP10_SQL = """
+WITH digests AS (
+  SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY hex ORDER BY page_id NULLS LAST, url NULLS FIRST) AS nth,
+         first_value(page_id) OVER (PARTITION BY hex ORDER BY page_id NULLS LAST, url NULLS FIRST) AS first_id
+  FROM digests
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 THEN first_id END AS refers_to
+FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Queries that DuckDB can express; the others use vocabularies, zstandard, XXH64, trained models or alignments."""
+    return {"op5_decontamination": OP5_SQL, "op7_chat": OP7_SQL, "op10_warc": OP10_SQL}
