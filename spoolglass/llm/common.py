@@ -76,6 +76,25 @@ def by_text(
     return run
 
 
+def filter_texts(docs: DataFrame, make: Callable[[], Callable[[str], bool]], text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text ``make()`` accepts; null text is the empty text."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepts = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array([accepts(t or "") for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def repeated_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame | None:
+    """Ids that more than one row has, or None where there are none."""
+    found = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
+    return None if found.isEmpty() else found
+
+
 class Bloom:
     """A filter of fixed size over 64-bit keys, built in Spark; it may pass other keys but never loses one.
 

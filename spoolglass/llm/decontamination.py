@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolglass.llm.common import cut_lineage, keyed_texts, small_batches
+from spoolglass.llm.common import cut_lineage, filter_texts, keyed_texts, small_batches
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
@@ -143,13 +143,44 @@ def rarity(docs: DataFrame, shared) -> dict[tuple[int, int], int]:
     return {(r["size"], r["code"]): r["n"] for r in counted.toArrow().to_pylist()}
 
 
-def blocks_of(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The items in blocks of about ``block_bytes`` of text, each read by itself."""
+def texts_of(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+
+
+def n_blocks(items: DataFrame, block_bytes: int) -> int:
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = -(-total // block_bytes) or 1
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    for i in range(n):
-        yield [(r["item"], r["text"]) for r in items.filter(part == i).toArrow().to_pylist()]
+    return -(-total // block_bytes) or 1
+
+
+def block_of(items: DataFrame, k: int, n: int) -> list[tuple[str | None, str]]:
+    """The k-th of n blocks of the items."""
+    rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toArrow().to_pylist()
+    return [(r["item"], r["text"]) for r in rows]
+
+
+def ordered_windows(rows: DataFrame, block: list[tuple[str | None, str]], window: int):
+    """The block's windows with their prefixes, broadcast: ``BLOCK_BYTES`` bounds their size."""
+    context = rows.sparkSession.sparkContext
+    windows = Windows(block, window)
+    windows.order(rarity(rows, context.broadcast(windows)))
+    return context.broadcast(windows)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows that no window of the benchmark occurs in, with all their columns, without a shuffle of texts."""
+    items = texts_of(benchmark, item_col, item_text_col)
+    small_batches(docs.sparkSession)
+    n = n_blocks(items, block_bytes)
+    for k in range(n):
+        rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        shared = ordered_windows(rows, block_of(items, k, n), window)
+
+        def make(shared=shared):
+            windows = shared.value
+            return lambda text: not windows.hits(windows.numbers(text))[0].any()
+
+        docs = filter_texts(docs, make, text_col)
+    return docs
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -164,15 +195,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     spark = docs.sparkSession
     small_batches(spark)
     rows = keyed_texts(docs, id_col, text_col)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    items = texts_of(benchmark, item_col, item_text_col)
     none = F.array().cast("array<int>"), F.array().cast("array<string>")
     state = rows.select("doc_id", "text", none[0].alias("hit"), none[1].alias("items"))
     state_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    parts = list(range(-(-(items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // block_bytes) or 1))
-    for k, block in zip(parts, blocks_of(items, block_bytes), strict=True):
-        windows = Windows(block, window)
-        windows.order(rarity(rows, spark.sparkContext.broadcast(windows)))
-        shared, last = spark.sparkContext.broadcast(windows), k == parts[-1]
+    n = n_blocks(items, block_bytes)
+    for k in range(n):
+        shared, last = ordered_windows(rows, block_of(items, k, n), window), k == n - 1
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             windows = shared.value

@@ -11,7 +11,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spoolglass.llm.common import by_text, keyed_texts, small_batches
+from spoolglass.llm.common import by_text, filter_texts, keyed_texts, small_batches
 
 LEVEL = 3
 CHUNK_BYTES = 4096
@@ -104,6 +104,20 @@ class Bands:
         return within(len(raw), whole) and bad <= MAX_BAD_CHUNKS, whole, min(ratios), max(ratios), bad
 
 
+def base_failed(counts: tuple[int, ...]) -> bool:
+    return counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
+
+
+def kept_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The rows that ``quality`` keeps, with all their columns: decided row by row, without a shuffle."""
+
+    def make():
+        bands = Bands()
+        return lambda text: not base_failed(base_counts(text)) and bands.verdict(text.encode())[0]
+
+    return filter_texts(docs, make, text_col)
+
+
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, base rule and compression verdict of each whole text.
 
@@ -119,7 +133,7 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
         def work(text: str) -> tuple:
             counts = base_counts(text)
-            failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
+            failed = base_failed(counts)
             kept, *ratios = bands.verdict(text.encode())
             return (*counts, failed, kept and not failed, *ratios)
 
