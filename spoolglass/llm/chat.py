@@ -54,8 +54,9 @@ def paths(messages: DataFrame, *, branches: int = 1, tree: str = "tree_id", node
     order = Window.partitionBy("t").orderBy(F.desc("sum"), "id")
     chosen = leaves.withColumn("branch", F.row_number().over(order)).filter(F.col("branch") <= branches).select("t", "branch", "id")
     for link in reversed(links[:-1]):
-        above = chosen.join(link.filter("up is not null"), ["t", "id"]).select("t", "branch", F.col("up").alias("id"))
-        chosen = chosen.unionByName(above)
+        # One reference to what is chosen so far: the plan stays as long as the number of joins.
+        both = chosen.join(link.select("t", "id", "up"), ["t", "id"])
+        chosen = both.select("t", "branch", F.explode(F.array("id", "up")).alias("id")).filter("id is not null")
     return chosen.join(rooted.select("t", "id", (F.col("steps") - 1).alias("depth")), ["t", "id"]).select(F.col(f"t.{tree}").alias("tree_id"), "branch", F.col("id").alias("node_id"), "depth")
 
 
