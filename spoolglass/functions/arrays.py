@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def spread(values: Column, limit: Column | int) -> Column:
     """Up to ``limit`` evenly spaced values: all if they are few, the middle one for one, ends included for more."""
     most = F.lit(limit) if isinstance(limit, int) else limit

@@ -6,10 +6,12 @@ frame lists are bounded (some tens), so they are arrays and folds, not joins.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoolglass.functions.arrays import bound, hamming, min_gap, spread
+from spoolglass.functions.arrays import hamming, min_gap, spread
 
 MAX_FRAMES, MIN_FRAMES, MAX_FRAME_BYTES, THUMBNAIL_BYTES = 30, 1, 640 * 1024, 256
 NEAR_DUPLICATE_BITS, SAMPLE_FPS = 8, 8
@@ -122,35 +124,49 @@ def distinct_frames(frames: Column, bits: int = NEAR_DUPLICATE_BITS) -> Column:
     )
 
 
-def choose_frames(frames: Column, desired: Column) -> Column:
-    """``desired`` of the frames (structs with ts first, and kind): ends and salient ones, then the farthest from those.
-
-    A bounded fold over at most ``MAX_FRAMES`` steps; of equally far frames the
-    earliest is taken.
-    """
-    def chosen_of(ordered: Column) -> Column:
-        n = F.size(ordered)
-        every = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-        times = F.transform(ordered, lambda f: f["ts"])
-
-        def of_kind(kind: str, share: int) -> Column:
-            places = F.filter(every, lambda i: F.get(ordered, i)["kind"] == kind)
-            return bound(places, lambda p: spread(p, F.least(F.size(p), F.greatest(F.lit(2), F.floor(desired / share).cast("int")))))
+def chosen_places(times: list[float], kinds: list[str], desired: int) -> list[int]:
+    """Places of the chosen frames among frames in time order: ends and salient ones, then the farthest from those."""
+    n = len(times)
+    if n <= desired:
+        return list(range(n))
+
+    def evenly(places: list[int], share: int) -> list[int]:
+        most = min(len(places), max(2, desired // share))
+        if len(places) <= most:
+            return places
+        return [places[i] for i in sorted({round(k * (len(places) - 1) / (most - 1)) for k in range(most)})]
+
+    seeds = [0, n - 1]
+    for kind, share in (("key", 6), ("scene", 3), ("burst", 6)):
+        seeds += evenly([i for i in range(n) if kinds[i] == kind], share)
+    chosen = list(dict.fromkeys(seeds))[:desired]
+    t, gap = np.array(times), np.full(n, np.inf)
+    for i in chosen:
+        gap = np.minimum(gap, np.abs(t - t[i]))
+    taken = np.zeros(n, bool)
+    taken[chosen] = True
+    while len(chosen) < desired:
+        i = int(np.where(taken, -1.0, gap).argmax())
+        chosen.append(i)
+        taken[i] = True
+        gap = np.minimum(gap, np.abs(t - t[i]))
+    return sorted(chosen)
+
+
+@F.pandas_udf("array<int>")
+def chosen_udf(times: pd.Series, kinds: pd.Series, desired: pd.Series) -> pd.Series:
+    return pd.Series([chosen_places(list(t), list(k), int(d)) for t, k, d in zip(times, kinds, desired, strict=True)])
 
-        seeds = F.slice(F.array_distinct(F.concat(F.array(F.lit(0), n - 1), of_kind("key", 6), of_kind("scene", 3), of_kind("burst", 6))), F.lit(1), desired)
 
-        def farthest(chosen: Column, times: Column) -> Column:
-            far = F.transform(times, lambda t, i: F.when(F.array_contains(chosen, i), -1.0).otherwise(F.array_min(F.transform(chosen, lambda s: F.abs(t - F.get(times, s))))))
-            added = bound(far, lambda f: F.when(F.array_max(f) >= 0, (F.array_position(f, F.array_max(f)) - 1).cast("int")))
-            return F.concat(chosen, F.array_compact(F.array(added)))
-
-        def step(chosen: Column, times: Column) -> Column:
-            return F.when(F.size(chosen) >= desired, chosen).otherwise(farthest(chosen, times))
-
-        filled = bound(times, lambda ts: F.aggregate(F.sequence(F.lit(1), F.greatest(desired, F.lit(1))), seeds, lambda chosen, _: step(chosen, ts)))
-        return F.when(n <= desired, ordered).otherwise(F.transform(F.array_sort(filled), lambda i: F.get(ordered, i)))
+def choose_frames(frames: Column, desired: Column) -> Column:
+    """``desired`` of the frames (structs with ts first, and kind), by time; of equally far frames the earliest.
 
-    return bound(F.array_sort(frames), chosen_of)
+    A greedy choice of at most ``MAX_FRAMES`` steps over a clip's few frames,
+    in batches of clips: as a fold of array functions it took ten times as long.
+    """
+    ordered = F.array_sort(frames)
+    places = chosen_udf(F.transform(ordered, lambda f: f["ts"]), F.transform(ordered, lambda f: f["kind"]), desired)
+    return F.transform(places, lambda i: F.get(ordered, i))
 
 
 def complete_groups(extracted: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
