@@ -38,24 +38,23 @@ def paths(messages: DataFrame, *, branches: int = 1, tree: str = "tree_id", node
     nodes = nodes.agg(F.min(F.struct(F.col(parent).alias("up"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"))).alias("x")).select("t", "id", "x.*")
     known = nodes.select("t", F.col("id").alias("up"), F.lit(True).alias("known"))
     nodes = cut_lineage(nodes.join(known, ["t", "up"], "left").select("t", "id", F.when(F.col("known"), F.col("up")).alias("up"), "score"))
-    links = [nodes.select("t", "id", "up", F.col("score").alias("sum"), F.lit(1).cast("long").alias("steps"))]
-    left = (links[0].groupBy("t").count().agg(F.max("count")).first()[0] or 0) - 1
-    while left > 0 and not links[-1].filter("up is not null").isEmpty():
-        now = links[-1]
-        far = now.select("t", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
-        links.append(
-            cut_lineage(
-                now.join(far, ["t", "up"], "left").select("t", "id", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
-            )
-        )
+    state = nodes.select("t", "id", "up", F.col("score").alias("sum"), F.lit(1).cast("long").alias("steps"))
+    links: list[DataFrame] = []
+    left = (state.groupBy("t").count().agg(F.max("count")).first()[0] or 0) - 1
+    while left > 0 and not (open_ones := state.filter("up is not null")).isEmpty():
+        # Only nodes that have not met their root go on; those that have are what others meet.
+        links.append(open_ones)
+        far = state.select("t", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
+        met = open_ones.join(far, ["t", "up"]).select("t", "id", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("steps") + F.col("steps2")).alias("steps"))
+        state = cut_lineage(state.filter("up is null").unionByName(met))
         left //= 2
-    rooted = links[-1].filter("up is null")
+    rooted = state.filter("up is null")
     leaves = rooted.join(nodes.filter("up is not null").select("t", F.col("up").alias("id")).distinct(), ["t", "id"], "left_anti")
     order = Window.partitionBy("t").orderBy(F.desc("sum"), "id")
     chosen = leaves.withColumn("branch", F.row_number().over(order)).filter(F.col("branch") <= branches).select("t", "branch", "id")
-    for link in reversed(links[:-1]):
+    for link in reversed(links):
         # One reference to what is chosen so far: the plan stays as long as the number of joins.
-        both = chosen.join(link.select("t", "id", "up"), ["t", "id"])
+        both = chosen.join(link.select("t", "id", "up"), ["t", "id"], "left")
         chosen = both.select("t", "branch", F.explode(F.array("id", "up")).alias("id")).filter("id is not null")
     return chosen.join(rooted.select("t", "id", (F.col("steps") - 1).alias("depth")), ["t", "id"]).select(F.col(f"t.{tree}").alias("tree_id"), "branch", F.col("id").alias("node_id"), "depth")
 
