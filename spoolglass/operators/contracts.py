@@ -64,7 +64,8 @@ class Json:
 
     @property
     def is_int(self) -> Column:
-        return self.type.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$")
+        """Integers beyond 64 bits are decimals of 19 digits or more; shorter ones without a scale were written as ``1.0``."""
+        return self.type.rlike(r"^(BIGINT|DECIMAL\((19|[23]\d),0\))$")
 
     @property
     def is_number(self) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType
 
 # Fixed values of the gate.
 SAMPLE_RATE, FRAME_MS, FRAME_BYTES = 16_000, 30, 960
@@ -87,7 +88,7 @@ def pcm_frames(clips: DataFrame, clip: str = "clip_id", pcm: str = "pcm") -> Dat
     return rows.select(clip, "frame_ix", F.substring(pcm, F.col("frame_ix") * FRAME_BYTES + 1, F.lit(FRAME_BYTES)).alias("pcm"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def rms(pcm: pd.Series) -> pd.Series:
     """Root of the mean square of 16-bit samples, truncated."""
 
@@ -106,17 +107,17 @@ def mixed(stereo: bytes, sign: int) -> bytes:
     return np.clip(np.floor((x[:, 0] + sign * x[:, 1]) / 2), -32768, 32767).astype("<i2").tobytes()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def mid(stereo: pd.Series) -> pd.Series:
     return stereo.map(lambda raw: None if raw is None else mixed(raw, 1))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def side(stereo: pd.Series) -> pd.Series:
     return stereo.map(lambda raw: None if raw is None else mixed(raw, -1))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def wav(pcm: pd.Series) -> pd.Series:
     """A WAV file around 16 kHz mono samples."""
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from spoolglass.functions.arrays import hamming, min_gap, spread
 
@@ -153,7 +154,7 @@ def chosen_places(times: list[float], kinds: list[str], desired: int) -> list[in
     return sorted(chosen)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def chosen_udf(times: pd.Series, kinds: pd.Series, desired: pd.Series) -> pd.Series:
     return pd.Series([chosen_places(list(t), list(k), int(d)) for t, k, d in zip(times, kinds, desired, strict=True)])
 

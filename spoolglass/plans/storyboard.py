@@ -27,4 +27,4 @@ def select(extracted: DataFrame) -> DataFrame:
     rows = rows.select("clip_id", "desired", F.struct("ts", F.col("kind").alias("kind"), frame_id(F.col("ts")).alias("frame_id"), bright_bits(grey).alias("print")).alias("f"))
     clips = rows.groupBy("clip_id").agg(F.collect_list("f").alias("frames"), F.max("desired").alias("desired"))
     chosen = choose_frames(distinct_frames(F.col("frames")), F.col("desired"))
-    return clips.select("clip_id", F.transform(chosen, lambda f: f.dropFields("print")).alias("frames"))
+    return clips.select("clip_id", F.transform(chosen, lambda f: F.struct(f["ts"].alias("ts"), f["kind"].alias("kind"), f["frame_id"].alias("frame_id"))).alias("frames"))
