@@ -26,5 +26,6 @@ def select(extracted: DataFrame) -> DataFrame:
     grey = F.transform(F.sequence(F.lit(1), F.length("gray")), lambda i: F.conv(F.hex(F.substring(F.col("gray"), i, F.lit(1))), 16, 10).cast("int"))
     rows = rows.select("clip_id", "desired", F.struct("ts", F.col("kind").alias("kind"), frame_id(F.col("ts")).alias("frame_id"), bright_bits(grey).alias("print")).alias("f"))
     clips = rows.groupBy("clip_id").agg(F.collect_list("f").alias("frames"), F.max("desired").alias("desired"))
-    chosen = choose_frames(distinct_frames(F.col("frames")), F.col("desired"))
-    return clips.select("clip_id", F.transform(chosen, lambda f: F.struct(f["ts"].alias("ts"), f["kind"].alias("kind"), f["frame_id"].alias("frame_id"))).alias("frames"))
+    kept = clips.select("clip_id", "desired", distinct_frames(F.col("frames")).alias("kept"))
+    slim = F.transform("kept", lambda f: F.struct(f["ts"].alias("ts"), f["kind"].alias("kind"), f["frame_id"].alias("frame_id")))
+    return kept.select("clip_id", "desired", slim.alias("kept")).select("clip_id", choose_frames(F.col("kept"), F.col("desired")).alias("frames"))
