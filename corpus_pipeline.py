@@ -15,10 +15,7 @@ from spoolglass.llm.decontamination import clean_documents
 from spoolglass.llm.piece_tokens import encode_decode
 from spoolglass.llm.quality import kept_documents
 from spoolglass.llm.queries import vocabulary
-from spoolglass.llm.simhash import near_duplicates
-
-#: Words of a shingle in the near-dedup stage.
-SHINGLE_WORDS = 5
+from spoolglass.llm.simhash import similar_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +24,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id.
+    """Of each group of near-duplicates (0.8 of five-word shingles or more, chained) the document with the smallest id.
 
     Of rows that share an id one stays.  Rows without an id can't be told
     apart and all stay.
     """
-    found = near_duplicates(docs, words=SHINGLE_WORDS)
+    found = similar_documents(docs)
     kept = docs.join(found.filter("doc_id > component_id").select("doc_id").distinct(), "doc_id", "left_anti")
     if repeated_ids(docs) is not None:
         named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])

@@ -12,6 +12,7 @@ not by a broadcast: all trees together grow with the data.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolglass.llm.common import LOWER_AZ, by_text, cut_lineage, keyed_texts, small_batches
+from spoolglass.llm.common import LOWER_AZ, Bloom, by_text, cut_lineage, keyed_texts, small_batches
 from spoolglass.llm.graph import components
+from spoolglass.llm.repeats import WordMemo, gram_hashes, word_hashes
 
 RADIUS = 3
 SEED = 42
 SHARD_LIMIT = 16_384
 
+#: Fingerprints of each text in the search for similar texts, and how often a word counts in them at most.
+KINDS, MAX_COUNT = 12, 2
+SIMILARITY, SHINGLE_WORDS = 0.8, 5
+
 #: Four groups of bits for each dealing: by the base-4 digits of a bit's number, the highest digit first.
 GROUPS = [[sum(1 << i for i in range(64) if i // 4**digit % 4 == g) for g in range(4)] for digit in (2, 0, 1)]
 
@@ -147,9 +153,9 @@ def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for group in sorted_groups(batches, "shard"):
-            prints = group["print"].tolist()
-            values = [p & 0xFFFFFFFFFFFFFFFF for p in prints]
-            out += [(prints[i], prints[j]) for i, j in forest(values, radius)]
+            nodes = group["node"].tolist()
+            values = [p & 0xFFFFFFFFFFFFFFFF for p in group["print"].tolist()]
+            out += [(nodes[i], nodes[j]) for i, j in forest(values, radius)]
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
                 out = []
@@ -162,18 +168,22 @@ def _links(radius: int):
 def dealt(rows: DataFrame, level: int) -> DataFrame:
     """Each fingerprint once for each of the four groups of this dealing, in the shard of that group's bits."""
     groups = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(signed(m)).alias("mask")) for g, m in enumerate(GROUPS[level])])
-    return rows.select("print", "shard", F.explode(groups).alias("x")).select(
-        "print", F.xxhash64("shard", F.lit(level), "x.g", F.col("print").bitwiseAND(F.col("x.mask"))).alias("shard")
+    return rows.select("node", "print", "shard", F.explode(groups).alias("x")).select(
+        "node", "print", F.xxhash64("shard", F.lit(level), "x.g", F.col("print").bitwiseAND(F.col("x.mask"))).alias("shard")
     )
 
 
 def linked(prints: DataFrame, *, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """a, b: links between distinct fingerprints that connect all within the radius (at most 3) of one another."""
+    """a, b: links that connect all nodes whose fingerprints are within the radius (at most 3) of one another.
+
+    prints: node, print, and shard, which keeps fingerprints of different kinds
+    apart; the fingerprints of a shard are distinct.
+    """
     if radius > 3:
         raise ValueError("four groups find pairs of at most three differing bits")
     spark = prints.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, found = prints.select("print", F.lit(0).cast("long").alias("shard")), None
+    rows, found = prints.select("node", "print", "shard"), None
     for level in range(len(GROUPS)):
         rows = dealt(rows, level)
         full = None
@@ -207,9 +217,122 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = RADIUS, id
     marked = cut_lineage(keyed_texts(docs, id_col, text_col).mapInArrow(by_text(make, PRINT_SCHEMA), "doc_id long, print long"))
     small_batches(docs.sparkSession, 10_000)
     nodes = cut_lineage(marked.groupBy("print").agg(F.min("doc_id").alias("first")))
-    roots = components(linked(nodes, radius=radius, shard_limit=shard_limit))
+    prints = nodes.select(F.col("print").alias("node"), "print", F.lit(0).cast("long").alias("shard"))
+    roots = components(linked(prints, radius=radius, shard_limit=shard_limit))
     of_root = roots.join(nodes, roots["node"] == nodes["print"]).select("root", "print", "first")
     least = of_root.groupBy("root").agg(F.min("first").alias("least"))
     joined = of_root.join(least, "root").select("print", "least")
     ids = nodes.join(joined, "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
     return marked.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+class WordPrints:
+    """``KINDS`` fingerprints over a text's words, each with its own seed; a word counts ``MAX_COUNT`` times at most.
+
+    An edit changes few words, so similar texts differ in few bits, and capped
+    counts keep the commonest words from making all texts alike.
+    """
+
+    def __init__(self, size: int = 200_000) -> None:
+        from xxhash import xxh64_digest
+
+        self.digest, self.size, self.known = xxh64_digest, size, {}
+
+    def of(self, text: str) -> list[int]:
+        counts = Counter(text.encode().translate(LOWER_AZ).split())
+        if not counts:
+            return [0] * KINDS
+        if len(self.known) > self.size:
+            self.known.clear()
+        known, rows = self.known, []
+        for word in counts:
+            row = known.get(word)
+            if row is None:
+                row = b"".join([self.digest(word, seed) for seed in range(KINDS)])
+                if len(word) <= 100:
+                    known[word] = row
+            rows.append(row)
+        again = [row for row, n in zip(rows, counts.values(), strict=True) if n > 1]
+        ones = sum((self.ones(part) for part in (rows, again) if part), start=np.zeros(64 * KINDS, np.int64))
+        return np.packbits(2 * ones > len(rows) + len(again)).view(">i8").tolist()
+
+    @staticmethod
+    def ones(rows: list[bytes], block: int = 255) -> np.ndarray:
+        """How often each bit is set, in blocks that a byte can count."""
+        out = np.zeros(64 * KINDS, np.int64)
+        for i in range(0, len(rows), block):
+            bits = np.frombuffer(b"".join(rows[i : i + block]), np.uint8).reshape(-1, 8 * KINDS)
+            out += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.uint8)
+        return out
+
+
+def shingle_set(text: str, words: int, memo: WordMemo) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; a shorter text is one shingle."""
+    tokens = word_hashes(text, memo)
+    grams = gram_hashes(tokens, min(words, len(tokens))) if len(tokens) else np.empty(0, np.uint64)
+    return np.unique((grams >> np.uint64(32)).astype(np.uint32))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b: ids) whose texts share at least ``similarity`` of their distinct shingles."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = spark.sparkContext.broadcast(Bloom.of(ends, "id"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, bits = WordMemo(), Bloom.opened(wanted.value)
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero(Bloom.holds(bits, ids)).tolist()
+            packed = [shingle_set(batch.column("text")[i].as_py(), words, memo).tobytes() for i in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(c).to_pylist() for c in ("left", "right"))
+            alike = [jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= similarity for x, y in zip(left, right, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    found = cut_lineage(docs.mapInArrow(sets, "doc_id long, shingles binary"))
+    joined = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")).hint("shuffle_merge"), "a")
+    joined = joined.join(found.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")).hint("shuffle_merge"), "b")
+    return joined.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id (the smallest id of its group) of the documents that are alike or equal to another.
+
+    Equal texts count once.  Texts with one of ``KINDS`` word fingerprints
+    within the radius are candidates, found by BK-trees; links are those that
+    share at least ``similarity`` of their distinct ``words``-word shingles.
+    Documents without a link give no row.  Rows without an id take no part;
+    rows that share an id should be equal.  No rows give no rows.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = keyed_texts(docs, id_col, text_col).filter("doc_id is not null")
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("prints", pa.list_(pa.int64()))])
+
+    def make():
+        from xxhash import xxh3_128_digest
+
+        prints = WordPrints()
+        return lambda text: (xxh3_128_digest(text.encode()), prints.of(text))
+
+    marked = cut_lineage(rows.mapInArrow(by_text(make, schema), "doc_id long, same binary, prints array<long>"))
+    small_batches(spark, 10_000)
+    firsts = cut_lineage(marked.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("prints").alias("prints")))
+    copies = marked.join(firsts.select("same", "first"), "same").filter("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    each = firsts.select(F.col("first").alias("id"), F.posexplode("prints").alias("kind", "print")).select("id", F.col("kind").cast("long").alias("shard"), "print")
+    nodes = cut_lineage(each.groupBy("shard", "print").agg(F.min("id").alias("node")))
+    equal = each.join(nodes, ["shard", "print"]).filter(F.col("id") > F.col("node")).select(F.col("id").alias("a"), F.col("node").alias("b"))
+    near = linked(nodes).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = cut_lineage(equal.unionByName(near).filter(F.col("a") > F.col("b")).distinct())
+    alike = similar_pairs(rows, pairs, words, similarity)
+    return components(alike.unionByName(copies)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

@@ -4,7 +4,7 @@ import xxhash
 from conftest_llm import ODD, words
 
 from spoolglass.llm.graph import components
-from spoolglass.llm.simhash import BKTree, fingerprint, near_duplicates
+from spoolglass.llm.simhash import KINDS, BKTree, WordPrints, fingerprint, near_duplicates, similar_documents
 
 
 def brute_print(text, size=3):
@@ -76,3 +76,55 @@ def test_long_chains_and_hubs_connect(spark):
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert found == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 180)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_word_prints():
+    text = "a b a c " * 300 + " ".join(words(700, 1))
+    counts = {}
+    for w in text.split():
+        counts[w] = min(2, counts.get(w, 0) + 1)
+    expected = []
+    for kind in range(KINDS):
+        hashes = [(xxhash.xxh64_intdigest(w, kind), n) for w, n in counts.items()]
+        x = sum(1 << b for b in range(64) if 2 * sum(n for h, n in hashes if h >> b & 1) > sum(counts.values()))
+        expected.append(x - (1 << 64) if x >> 63 else x)
+    assert WordPrints().of(text) == expected
+    assert WordPrints().of(" ") == [0] * KINDS
+
+
+def test_similar_documents_match_brute_force(spark, table):
+    r = random.Random(8)
+    rows = list(ODD)
+    for g in range(25):
+        base = words(300, 50 + g)
+        for k in range(6):
+            copy = list(base)
+            for at in range(r.randrange(60), len(copy), (60, 80, 100, 25, 15, 9)[k]):
+                copy[at] = f"edit{g}{k}{at}"
+            rows.append((1000 + g * 10 + k, " ".join(copy)))
+    rows += [(2000, rows[-1][1]), (1999, rows[-1][1])]
+    sets = {}
+    for i, t in rows:
+        if i is not None:
+            w = (t or "").lower().split()
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if b < a:
+                both = len(sets[a] & sets[b])
+                if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((root(a), root(b)))
+                    parent[y] = x
+    expected = {i: root(i) for i in sets}
+    found = dict(map(tuple, similar_documents(table(rows)).collect()))
+    joined = [i for i in expected if expected[i] != i or list(expected.values()).count(i) > 1]
+    assert all(expected[i] == c for i, c in found.items())  # no false link
+    assert len(set(found) & set(joined)) >= 0.95 * len(joined)
+    assert similar_documents(table([])).count() == 0
