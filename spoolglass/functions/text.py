@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Limits, labels, texts and phrases that results have to agree on.
 MIN_WORDS, MAX_WORDS, MAX_SENTENCES = 6, 300, 8
@@ -190,7 +191,7 @@ def prefix_similarity(left: Column, right: Column) -> Column:
     return shared / F.greatest(F.lit(1), n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """The larger of the matching ratios of characters and of tokens; the order of the sides matters."""
 
