@@ -209,6 +209,8 @@ def assemble(records: DataFrame) -> DataFrame:
         .join(metadata.withColumnRenamed("concurrent_to", "record_id"), "record_id", "left")
         .withColumn("metadata", F.coalesce("metadata", F.array().cast("array<struct<record_id:string,page_id:bigint>>")))
     )
+    # Materialised, so that both sides of the join are plain exchanges and the revisits of one response can be split.
+    captures = cut_lineage(captures)
     target = captures.filter("main.warc_type = 'response'").select(
         F.col("record_id").alias("of"),
         F.struct(F.try_element_at("metadata", F.lit(1))["page_id"].alias("page_id"), F.col("main.payload_bytes").alias("payload_bytes"), F.col("main.payload_digest").alias("payload_digest")).alias("revisited"),
