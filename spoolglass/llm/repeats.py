@@ -22,9 +22,11 @@ from spoolglass.llm.common import LOWER_AZ, Bloom, keyed_texts, small_batches
 
 LENGTH = 50
 GRAM = 8
+#: Contexts that a task remembers, to send one of equal ones to the sort.
+SEEN_CONTEXTS = 200_000
 
-SUFFIX_SCHEMA = pa.schema([("gram", pa.int64()), ("left_words", pa.binary()), ("right_words", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32())])
-SUFFIX_DDL = "gram long, left_words binary, right_words binary, doc_id long, at int"
+SUFFIX_SCHEMA = pa.schema([("gram", pa.int64()), ("left_words", pa.binary()), ("right_words", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32()), ("last", pa.int32())])
+SUFFIX_DDL = "gram long, left_words binary, right_words binary, doc_id long, at int, last int"
 SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 SPAN_DDL = "doc_id long, first int, last int"
 PASSAGE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_repeated", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
@@ -89,12 +91,19 @@ def suffix_rows(docs: DataFrame, length: int, gram: int, repeated: Broadcast | N
 
     The context reaches from the first to the last window that has its minimum
     at the suffix: all words that can belong to a match through it, no more.
+    Of suffixes with the same context in a task one goes to the sort; all of
+    them are repeated, and the others go on as finished spans (no words, from
+    ``at`` to ``last``) under keys of their own, so that the copies of a common
+    passage don't meet in one task.
     """
     window = length - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         memo = WordMemo()
         bits = repeated and Bloom.opened(repeated.value)
+        seen: dict[bytes, tuple] = {}
         for batch in batches:
             rows: list[tuple] = []
             found: list[np.ndarray] = []
@@ -111,7 +120,18 @@ def suffix_rows(docs: DataFrame, length: int, gram: int, repeated: Broadcast | N
                     continue
                 packed = words.astype(">u4").tobytes()
                 for k, m, a, b in zip(*(x[kept].tolist() for x in (keys, at, first, last)), strict=True):
-                    rows.append((k, packed[4 * a : 4 * m], packed[4 * m : 4 * (b + length)], doc, m))
+                    context = xxh3_128_digest(packed[4 * a : 4 * (b + length)])
+                    before = seen.get(context)
+                    if before is None:
+                        if len(seen) >= SEEN_CONTEXTS:
+                            seen.clear()
+                        seen[context] = (doc, a, b + length)
+                        rows.append((k, packed[4 * a : 4 * m], packed[4 * m : 4 * (b + length)], doc, m, None))
+                        continue
+                    if before:  # the first of them, until now only in the sort
+                        rows.append((own_key(*before), None, None, *before))
+                        seen[context] = ()
+                    rows.append((own_key(doc, a, b + length), None, None, doc, a, b + length))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["gram"])
             if rows:
@@ -121,6 +141,10 @@ def suffix_rows(docs: DataFrame, length: int, gram: int, repeated: Broadcast | N
     return docs.mapInArrow(run, "gram long" if repeated is None else SUFFIX_DDL)
 
 
+def own_key(doc: int | None, first: int, last: int) -> int:
+    return hash((doc, first, last))  # of integers: the same in every process
+
+
 def common_bytes(a: bytes, b: bytes) -> int:
     if a == b:
         return len(a)
@@ -189,7 +213,10 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, Run(length), []
         for batch in batches:
-            for k, left, right, doc, at in zip(*(batch.column(c).to_pylist() for c in SUFFIX_SCHEMA.names), strict=True):
+            for k, left, right, doc, at, last in zip(*(batch.column(c).to_pylist() for c in SUFFIX_SCHEMA.names), strict=True):
+                if right is None:
+                    out.append((doc, at, last))
+                    continue
                 if k != key:
                     out += [s for r in group.owners for s in spans_of(r, length)]
                     key, group = k, Run(length)
