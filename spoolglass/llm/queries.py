@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spoolglass.llm.chaining import passages
 from spoolglass.llm.chat import as_reply_chain, format_conversations, read_back
@@ -50,8 +51,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with exact passages of 50 words or more that are found twice or more."""
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    """Documents with exact passages of 50 words or more that are found twice or more; spans as first-last, joined."""
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string"))), ",")
+    return found.select("doc_id", "n_repeated", spans.alias("spans"))
 
 
 #: A conversation of control strings, which the template has to escape.
@@ -117,6 +120,22 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM docs LEFT JOIN hits USING (row_id) LEFT JOIN hit_items USING (row_id)
 """
 
+OP6_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS passage
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM docs WHERE len(words) >= 50)
+), places AS (
+  SELECT DISTINCT doc_id, unnest(range(i - 1, i + 49)) AS p
+  FROM windows WHERE passage IN (SELECT passage FROM windows GROUP BY 1 HAVING count(*) > 1)
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 1 AS b
+  FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM places) GROUP BY doc_id, island
+)
+SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_repeated, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM spans GROUP BY 1
+"""
+
 OP7_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -154,4 +173,4 @@ FROM ranked
 
 def oracle_sql() -> dict[str, str]:
     """Queries that DuckDB can express; the others use vocabularies, zstandard, XXH64, trained models or alignments."""
-    return {"op5_decontamination": OP5_SQL, "op7_chat": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_suffix_array": OP6_SQL, "op7_chat": OP7_SQL, "op10_warc": OP10_SQL}
