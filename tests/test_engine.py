@@ -398,3 +398,20 @@ def test_timings(spark):
     rows = [(1, 2, "style", 1.0, "b"), (1, 1, "perception", 2.0, "a")]
     r = P.timings(spark.createDataFrame(rows, "task_id int, seq int, stage string, seconds double, model string")).first()
     assert (r.perception_seconds, r.style_seconds, r.total_seconds, r.calls, r.last_model) == (2.0, 1.0, 3.0, ["a", "b"], "b")
+
+
+def test_audio_metadata(spark):
+    df = spark.createDataFrame([(1.0, 2), (0.05, 2), (601.0, 1), (1.0, 33), (None, 1), (None, None)], "d double, c int")
+    assert [e is None for e in values(df, S.audio_metadata_error(F.col("d"), F.col("c")))] == [True, False, False, False, False, True]
+
+
+def test_failed_rows_keep_their_place(spark):
+    df = spark.createDataFrame([(0, "ok", None), (1, None, "boom")], "idx int, caption string, error string")
+    assert [r.caption for r in P.isolated(df, "error", "caption", F.lit("fallback")).orderBy("idx").collect()] == ["ok", "fallback"]
+
+
+def test_diagnostics_are_appended(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "é")], "task_id string, caption string")
+    for _ in range(2):
+        files.append_diagnostics(rows, str(tmp_path / "diagnostics"))
+    assert [r.caption for r in spark.read.json(str(tmp_path / "diagnostics")).collect()] == ["é", "é"]
