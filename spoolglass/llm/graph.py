@@ -13,8 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star steps alternate until the edges stay the same;
     the number of rounds grows with the logarithm of the longest chain.  Each
-    step is a minimum by key (combined before the shuffle) and a join that
-    adaptive execution may split.  Edges with a null end are left out, loops
+    step is a minimum by key (combined before the shuffle, then materialised)
+    and a join of two plain exchanges, so that a hub's edges can be split.  Edges with a null end are left out, loops
     and repeated edges don't matter, and no edges give an empty result.
     """
     edges = (
@@ -29,9 +29,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut_lineage(large)
+        least = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
         small = (
             large.join(least, "a")
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
