@@ -30,7 +30,7 @@ MARK = "▁"
 MEMO_WORDS = 300_000
 
 #: Tested pairs that a worker keeps.
-MEMO_PAIRS = 300_000
+MEMO_PAIRS = 500_000
 
 SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
@@ -66,11 +66,14 @@ class PrefixTableEncoder:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             self.cut = re.compile(r"(?s).+")  # a piece may cross a word's end: the whole text is one word
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
+        self.texts: dict[int, str] = {}
+        for piece, i in self.ids.items():
             if self.merged(piece) == [piece]:  # others can never be a token
-                self.automaton.add_word(piece, (len(piece), piece))
+                self.texts[i] = piece
+                self.automaton.add_word(piece, (len(piece), i, {}))  # with the tokens tested before it
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.sizes = [len(self.texts.get(i, "")) for i in range(size)]
+        self.n_pieces, self.n_tested = size, 0
         self.words = Memo(self._word, MEMO_WORDS)
 
     def merged(self, text: str) -> list[str]:
@@ -86,56 +89,56 @@ class PrefixTableEncoder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def pieces(self, word: str) -> list[str]:
-        """Pieces of a string without cuts, by its prefix table."""
-        n, letters, fits = len(word), self.letters, self.fits
-        last: list[str] = [""] * (n + 1)
+    def tokens(self, word: str) -> list[int]:
+        """Tokens of a string without cuts, by its prefix table; a character c that is no piece is n_pieces + ord(c)."""
+        n, letters = len(word), self.letters
+        last = [-1] * n  # of the prefix that ends with each character
         if not letters.issuperset(word):
             for i, c in enumerate(word):
-                if c not in letters:  # such a character is a token of its own, written as bytes
-                    last[i + 1] = c
-        for end, (size, piece) in self.automaton.iter(word):
-            end += 1
-            if last[end]:
+                if c not in letters:
+                    last[i] = self.n_pieces + ord(c)
+        for end, (size, token, tested) in self.automaton.iter(word):
+            if last[end] >= 0:
                 continue
-            if size == end:
-                last[end] = piece
+            if size > end:
+                last[end] = token
                 continue
-            pair = last[end - size], piece
-            fit = fits.get(pair)
+            before = last[end - size]
+            fit = tested.get(before)
             if fit is None:
-                fit = self._fit(pair)
+                fit = self._fit(before, token, tested)
             if fit:
-                last[end] = piece
-        out = []
-        while n:
-            piece = last[n]
-            out.append(piece)
-            n -= len(piece)
+                last[end] = token
+        out, sizes, n_pieces = [], self.sizes, self.n_pieces
+        n -= 1
+        while n >= 0:
+            token = last[n]
+            out.append(token)
+            n -= sizes[token] if token < n_pieces else 1
         out.reverse()
         return out
 
-    def _fit(self, pair: tuple[str, str]) -> bool:
-        if len(self.fits) > MEMO_PAIRS:
-            self.fits.clear()
-        fit = self.fits[pair] = self.merged(pair[0] + pair[1]) == [*pair]
+    def _fit(self, before: int, token: int, tested: dict[int, bool]) -> bool:
+        """Whether the two tokens are the encoding of their joined text."""
+        left = self.texts[before] if before < self.n_pieces else chr(before - self.n_pieces)
+        right = self.texts[token]
+        fit = self.merged(left + right) == [left, right]
+        if self.n_tested < MEMO_PAIRS:
+            tested[before] = fit
+            self.n_tested += 1
         return fit
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        out: list[int] = []
-        for piece in self.pieces(word):
-            known = self.ids.get(piece)
-            if known is None:
-                out += [self.byte_ids[b] for b in piece.encode()]
-            else:
-                out.append(known)
+        out = self.tokens(word)
+        if max(out) >= self.n_pieces:  # characters that are no pieces are written as bytes
+            out = [i for t in out for i in ([t] if t < self.n_pieces else [self.byte_ids[b] for b in chr(t - self.n_pieces).encode()])]
         return array("i", out).tobytes(), " ".join(map(str, out))
 
     def encoded(self, text: str) -> tuple[list[int], str]:
         """Ids with the end id, and the same as decimal numbers joined by spaces."""
         if not text:
             return [self.end_id], str(self.end_id)
-        words = [self.words[w] for w in self.cut.findall(MARK + text.replace(" ", MARK))]
+        words = list(map(self.words.__getitem__, self.cut.findall(MARK + text.replace(" ", MARK))))
         ids = array("i", b"".join([w[0] for w in words])).tolist()
         ids.append(self.end_id)
         return ids, f"{' '.join([w[1] for w in words])} {self.end_id}"
