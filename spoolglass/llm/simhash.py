@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = RADIUS, id
     of_root = roots.join(nodes, roots["node"] == nodes["print"]).select("root", "print", "first")
     least = of_root.groupBy("root").agg(F.min("first").alias("least"))
     joined = of_root.join(least, "root").select("print", "least")
-    ids = nodes.join(joined, "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
+    # Materialised, so that the rows of one fingerprint can be split in the last join.
+    ids = cut_lineage(nodes.join(joined, "print", "left").select("print", F.coalesce("least", "first").alias("component_id")))
     return marked.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
