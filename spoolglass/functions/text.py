@@ -5,6 +5,7 @@ Every class in a pattern is Unicode-aware (``(?U)``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -57,6 +58,11 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches_any(c: Column, patterns: tuple[str, ...], flags: str = "U") -> Column:
     found = c.rlike(f"(?{flags}){patterns[0]}")
     for p in patterns[1:]:
@@ -82,7 +88,8 @@ def sentences(c: Column) -> Column:
     t = F.regexp_replace(t, rf"(?iU)\b({ABBREVIATIONS})\.", f"$1{MARK}")
     # A run of initials: each that another follows, then the last one.
     t = F.regexp_replace(t, r"(?U)\b([A-Z])\.(?=\s*\b[A-Z]\.)", f"$1{MARK}")
-    t = F.regexp_replace(t, rf"(?U)(?<=\b[A-Z]{MARK}\s{{0,99}})\b([A-Z])\.", f"$1{MARK}")
+    last = F.regexp_replace(t, rf"(?U)(?<=\b[A-Z]{MARK}\s{{0,99}})\b([A-Z])\.", f"$1{MARK}")
+    t = F.when(t.rlike(f"[A-Z]{MARK}"), last).otherwise(t)  # the look-behind is slow, and few texts have initials
     t = F.regexp_replace(t, r"(?U)\b([A-Z])\.(?=\s+[A-Z][A-Za-z'-]+)", f"$1{MARK}")
     parts = F.regexp_extract_all(t, F.lit(r"(?U)[^.!?]+[.!?]+(?:[\"'](?=\s|\z))?|[^.!?]+\z"), F.lit(0))
     return F.filter(F.transform(parts, lambda s: stripped(F.translate(s, MARK, "."))), lambda s: s != "")
@@ -101,34 +108,32 @@ def has_style_prefix(c: Column, style: Column) -> Column:
 
 def lint_reasons(caption: Column, style: Column | None = None) -> Column:
     """All reasons against a caption, in a fixed order; a null caption is not a string, a blank one is empty."""
-    t = stripped(caption)
-    words = word_count(t)
-    rules = [
-        (words < MIN_WORDS, "caption is too short"),
-        (words > MAX_WORDS, "caption is too long"),
-        (F.size(sentences(t)) > MAX_SENTENCES, "caption has too many sentences"),
-        (matches_any(t, MARKDOWN), "caption must not contain markdown"),
-        (matches_any(t, JSON_PIECES), "caption must not contain JSON fragments"),
-        (matches_any(t, REFUSALS, "iU"), "caption must not contain refusal text"),
-        (matches_any(t, PLANNING, "iU"), "caption must not expose reasoning or planning"),
-        (~t.rlike(f"(?U){COMPLETE}") | t.rlike(f"(?iU){DANGLING}"), "caption must be a complete sentence"),
-    ]
-    if style is not None:
-        rules.append((has_style_prefix(t, style), "caption must not start with a style label"))
-    found = F.array_compact(F.array(*[F.when(rule, F.lit(reason)) for rule, reason in rules]))
-    blank = F.when(t == "", F.array(F.lit("caption must be non-empty"))).otherwise(found)
-    return F.when(caption.isNull(), F.array(F.lit("caption must be a string"))).otherwise(blank)
+    def found(t: Column) -> Column:
+        rules = [
+            (word_count(t) < MIN_WORDS, "caption is too short"),
+            (word_count(t) > MAX_WORDS, "caption is too long"),
+            (F.size(sentences(t)) > MAX_SENTENCES, "caption has too many sentences"),
+            (matches_any(t, MARKDOWN), "caption must not contain markdown"),
+            (matches_any(t, JSON_PIECES), "caption must not contain JSON fragments"),
+            (matches_any(t, REFUSALS, "iU"), "caption must not contain refusal text"),
+            (matches_any(t, PLANNING, "iU"), "caption must not expose reasoning or planning"),
+            (~t.rlike(f"(?U){COMPLETE}") | t.rlike(f"(?iU){DANGLING}"), "caption must be a complete sentence"),
+        ]
+        if style is not None:
+            rules.append((has_style_prefix(t, style), "caption must not start with a style label"))
+        reasons = F.array_compact(F.array(*[F.when(rule, F.lit(reason)) for rule, reason in rules]))
+        return F.when(t == "", F.array(F.lit("caption must be non-empty"))).otherwise(reasons)
+
+    return F.when(caption.isNull(), F.array(F.lit("caption must be a string"))).otherwise(bound(stripped(caption), found))
 
 
 def clean_summary(c: Column, max_words: Column | int = MAX_WORDS) -> Column:
     """Whole sentences of a summary up to a number of words and eight sentences; generic if it is no prose."""
     most = max_words if isinstance(max_words, Column) else F.lit(max_words)
-    t = collapsed(F.coalesce(F.when(c == "", None).otherwise(c), F.lit(GENERIC_SUMMARY)))
-    bad = (t == "") | F.substring(t, 1, 1).isin("{", "[") | F.contains(t, F.lit("`")) | t.rlike(r"(?U)[\"']?factual_summary[\"']?\s*:")
-    t = F.when(bad, F.lit(GENERIC_SUMMARY)).otherwise(t)
-    parts = sentences(t)
-    parts = F.slice(F.when(F.size(parts) == 0, F.array(t)).otherwise(parts), 1, MAX_SENTENCES)
-    start = F.struct(F.array().cast("array<string>").alias("taken"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+
+    def prose(t: Column) -> Column:
+        bad = (t == "") | F.substring(t, 1, 1).isin("{", "[") | F.contains(t, F.lit("`")) | t.rlike(r"(?U)[\"']?factual_summary[\"']?\s*:")
+        return F.when(bad, F.lit(GENERIC_SUMMARY)).otherwise(t)
 
     def step(acc: Column, s: Column) -> Column:
         tokens = F.split(collapsed(s), " ")
@@ -142,12 +147,23 @@ def clean_summary(c: Column, max_words: Column | int = MAX_WORDS) -> Column:
         )
         return F.struct(taken.alias("taken"), F.when(acc["full"] | over, acc["n"]).otherwise(acc["n"] + F.size(tokens)).alias("n"), (acc["full"] | over).alias("full"))
 
-    out = stripped(F.array_join(F.aggregate(parts, start, step)["taken"], " "))
-    tokens = F.filter(F.split(collapsed(out), " "), lambda w: w != "")
-    n = F.size(tokens)
-    padded = F.array_join(F.concat(tokens, F.slice(F.array(*map(F.lit, PADDING)), F.lit(1), F.greatest(F.lit(0), F.lit(6) - n))), " ")
-    out = F.when(n < 6, padded).otherwise(out)
-    return F.when(F.substring(out, -1, 1).isin(".", "!", "?"), out).otherwise(F.concat(out, F.lit(".")))
+    def kept(parts: Column, t: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("taken"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+        parts = F.slice(F.when(F.size(parts) == 0, F.array(t)).otherwise(parts), 1, MAX_SENTENCES)
+        return stripped(F.array_join(F.aggregate(parts, start, step)["taken"], " "))
+
+    def finished(out: Column) -> Column:
+        tokens = F.filter(F.split(collapsed(out), " "), lambda w: w != "")
+        n = F.size(tokens)
+        padded = F.array_join(F.concat(tokens, F.slice(F.array(*map(F.lit, PADDING)), F.lit(1), F.greatest(F.lit(0), F.lit(6) - n))), " ")
+        return F.when(n < 6, padded).otherwise(out)
+
+    def closed(out: Column) -> Column:
+        return F.when(F.substring(out, -1, 1).isin(".", "!", "?"), out).otherwise(F.concat(out, F.lit(".")))
+
+    text = bound(collapsed(F.coalesce(F.when(c == "", None).otherwise(c), F.lit(GENERIC_SUMMARY))), prose)
+    out = bound(text, lambda t: bound(sentences(t), lambda parts: kept(parts, t)))
+    return bound(bound(out, finished), closed)
 
 
 def fallback_caption(style: Column, summary: Column) -> Column:
