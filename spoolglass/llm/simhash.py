@@ -165,25 +165,93 @@ def _links(radius: int):
     return run
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """Whether an odd number of the distinct hashes falls on each of 64 bits or more, a bit for each hash."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
+    return np.packbits((np.bincount(shingles & np.uint32(bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """Which pairs of sets can be alike: each hash that one of them lacks turns at most one bit of their parities.
+
+    A pair at the similarity or above is never refused; most others are.
+    Parities of twice the bits are folded, which keeps that.
+    """
+
+    def __init__(self, sizes: np.ndarray, packed: np.ndarray, similarity: float) -> None:
+        self.sizes, self.similarity = sizes.astype(np.int64), similarity
+        self.width = np.fromiter(map(len, packed), np.int64, len(packed))
+        self.at, self.rows, self.folded = np.zeros(len(packed), np.int64), {}, {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.at[own] = np.arange(len(own))
+            self.rows[w] = np.frombuffer(b"".join(packed[own].tolist()), np.uint64).reshape(len(own), -1)
+            if w > 8:
+                self.folded[w] = self.rows[w][:, : w // 16] ^ self.rows[w][:, w // 16 :]
+
+    def alike(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that can be alike to i."""
+        s, w = self.similarity, int(self.width[i])
+        small, large = np.minimum(self.sizes[others], self.sizes[i]), np.maximum(self.sizes[others], self.sizes[i])
+        others = others[small >= s * large - 1e-6]
+        out = []
+        for width, left, right in ((w, self.rows, self.rows), (w // 2, self.folded, self.rows), (2 * w, self.rows, self.folded)):
+            js = others[self.width[others] == width]
+            if len(js):
+                apart = np.bitwise_count(left[w][self.at[i]] ^ right[width][self.at[js]]).sum(axis=1, dtype=np.int64)
+                out.append(js[apart <= (self.sizes[js] + self.sizes[i]) * (1 - s) / (1 + s) + 1e-6])
+        return np.concatenate(out) if out else others[:0]
+
+
+def _open_pairs(radius: int, similarity: float):
+    """Every pair of a shard within the radius that can be alike and isn't yet in one component."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, "shard"):
+            nodes, comps, prints = group["node"], group["comp"], group["print"]
+            if (comps == comps[0]).all():
+                continue
+            cuts = [0, *(np.flatnonzero(prints[1:] != prints[:-1]) + 1).tolist(), len(prints)]
+            sets, tree = Parities(group["size"], group["parity"], similarity), BKTree()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                value = int(prints[a]) & 0xFFFFFFFFFFFFFFFF
+                before = np.concatenate([np.arange(cuts[g], cuts[g + 1]) for g in tree.near(value, radius)] + [np.empty(0, np.int64)])
+                tree.add(value)
+                for i in range(a, b):
+                    others = np.concatenate((before, np.arange(a, i)))
+                    others = others[comps[others] != comps[i]]
+                    if len(others):
+                        others = sets.alike(i, others)
+                    if len(others):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), nodes[i])), pa.array(nodes[others])], schema=schema)
+
+    return run
+
+
 def dealt(rows: DataFrame, level: int) -> DataFrame:
     """Each fingerprint once for each of the four groups of this dealing, in the shard of that group's bits."""
     groups = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(signed(m)).alias("mask")) for g, m in enumerate(GROUPS[level])])
-    return rows.select("node", "print", "shard", F.explode(groups).alias("x")).select(
-        "node", "print", F.xxhash64("shard", F.lit(level), "x.g", F.col("print").bitwiseAND(F.col("x.mask"))).alias("shard")
+    own = [c for c in rows.columns if c != "shard"]
+    return rows.select(*own, "shard", F.explode(groups).alias("x")).select(
+        *own, F.xxhash64("shard", F.lit(level), "x.g", F.col("print").bitwiseAND(F.col("x.mask"))).alias("shard")
     )
 
 
-def linked(prints: DataFrame, *, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+def linked(prints: DataFrame, *, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT, carried: tuple[str, ...] = (), links=None) -> DataFrame:
     """a, b: links that connect all nodes whose fingerprints are within the radius (at most 3) of one another.
 
     prints: node, print, and shard, which keeps fingerprints of different kinds
-    apart; the fingerprints of a shard are distinct.
+    apart; the fingerprints of a shard are distinct.  ``links`` is another
+    choice of links within a shard, which may read the ``carried`` columns and
+    fingerprints that several nodes have.
     """
     if radius > 3:
         raise ValueError("four groups find pairs of at most three differing bits")
     spark = prints.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, found = prints.select("node", "print", "shard"), None
+    links_of = links or _links(radius)
+    rows, found = prints.select("node", "print", *carried, "shard"), None
     for level in range(len(GROUPS)):
         rows = dealt(rows, level)
         full = None
@@ -192,7 +260,7 @@ def linked(prints: DataFrame, *, radius: int = RADIUS, shard_limit: int = SHARD_
             if full.isEmpty():
                 full = None
         now = rows if full is None else rows.join(full, "shard", "left_anti")
-        links = now.repartition(n, "shard").sortWithinPartitions("shard", "print").mapInArrow(_links(radius), "a long, b long")
+        links = now.repartition(n, "shard").sortWithinPartitions("shard", "print").mapInArrow(links_of, "a long, b long")
         found = links if found is None else found.unionByName(links)
         if full is None:
             break
@@ -312,28 +380,47 @@ def similar_documents(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity
     Equal texts count once.  Texts with one of ``KINDS`` word fingerprints
     within the radius are candidates, found by BK-trees; links are those that
     share at least ``similarity`` of their distinct ``words``-word shingles.
+    Links that connect the candidates are verified first; then every other
+    candidate pair between two of the resulting components, so that no pair
+    is left out for a link that proved wrong.
     Documents without a link give no row.  Rows without an id take no part;
     rows that share an id should be equal.  No rows give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = keyed_texts(docs, id_col, text_col).filter("doc_id is not null")
-    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("prints", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("prints", pa.list_(pa.int64())), ("size", pa.int64()), ("parity", pa.binary())])
 
     def make():
         from xxhash import xxh3_128_digest
 
-        prints = WordPrints()
-        return lambda text: (xxh3_128_digest(text.encode()), prints.of(text))
+        prints, memo = WordPrints(), WordMemo()
+
+        def work(text: str) -> tuple:
+            shingles = shingle_set(text, words, memo)
+            return xxh3_128_digest(text.encode()), prints.of(text), len(shingles), parity(shingles)
 
-    marked = cut_lineage(rows.mapInArrow(by_text(make, schema), "doc_id long, same binary, prints array<long>"))
+        return work
+
+    marked = cut_lineage(rows.mapInArrow(by_text(make, schema), "doc_id long, same binary, prints array<long>, size long, parity binary"))
     small_batches(spark, 10_000)
-    firsts = cut_lineage(marked.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("prints").alias("prints")))
+    of_text = F.min(F.struct("doc_id", "prints", "size", "parity")).alias("x")
+    firsts = cut_lineage(marked.groupBy("same").agg(of_text).select("same", F.col("x.doc_id").alias("first"), "x.prints", "x.size", "x.parity"))
     copies = marked.join(firsts.select("same", "first"), "same").filter("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     each = firsts.select(F.col("first").alias("id"), F.posexplode("prints").alias("kind", "print")).select("id", F.col("kind").cast("long").alias("shard"), "print")
     nodes = cut_lineage(each.groupBy("shard", "print").agg(F.min("id").alias("node")))
     equal = each.join(nodes, ["shard", "print"]).filter(F.col("id") > F.col("node")).select(F.col("id").alias("a"), F.col("node").alias("b"))
     near = linked(nodes).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = cut_lineage(equal.unionByName(near).filter(F.col("a") > F.col("b")).distinct())
-    alike = similar_pairs(rows, pairs, words, similarity)
+    alike = cut_lineage(similar_pairs(rows, pairs, words, similarity))
+    # Every text with a candidate has one in ``pairs``; what is still apart there is compared in full.
+    roots = components(alike).select(F.col("node").alias("first"), F.col("root").alias("comp"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("first")).distinct()
+    still = firsts.join(ends, "first").join(roots, "first", "left").select(F.col("first").alias("node"), F.coalesce("comp", "first").alias("comp"), "size", "parity", F.posexplode("prints").alias("shard", "print"))
+    small_batches(spark, 10_000)
+    missed = linked(still.withColumn("shard", F.col("shard").cast("long")), carried=("comp", "size", "parity"), links=_open_pairs(RADIUS, similarity))
+    missed = missed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") > F.col("b")).distinct()
+    missed = cut_lineage(missed.join(pairs, ["a", "b"], "left_anti"))
+    if not missed.isEmpty():
+        alike = alike.unionByName(similar_pairs(rows, missed, words, similarity))
     return components(alike.unionByName(copies)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

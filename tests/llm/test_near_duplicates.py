@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import xxhash
 from conftest_llm import ODD, words
 
 from spoolglass.llm.graph import components
-from spoolglass.llm.simhash import KINDS, BKTree, WordPrints, fingerprint, near_duplicates, similar_documents
+from spoolglass.llm.simhash import KINDS, BKTree, Parities, WordPrints, fingerprint, jaccard, near_duplicates, parity, similar_documents
 
 
 def brute_print(text, size=3):
@@ -92,6 +93,52 @@ def test_word_prints():
     assert WordPrints().of(" ") == [0] * KINDS
 
 
+def shingled(text):
+    w = text.split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_every_candidate_pair_between_components_is_verified(spark, table):
+    r, base, rows = random.Random(3), words(300, 77), []
+    for i in range(120):
+        copy = list(base)
+        for at in r.sample(range(300), r.randrange(2, 7)):
+            copy[at] = f"w{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    sets, prints = [shingled(t) for _, t in rows], [WordPrints().of(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            near = any((x ^ y).bit_count() <= 3 for x, y in zip(prints[i], prints[j]))
+            both = len(sets[i] & sets[j])
+            if near and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    found = dict(map(tuple, similar_documents(table(rows)).collect()))
+    assert all(found.get(i, i) == root(i) for i in range(len(rows)))
+
+
+def test_parities_refuse_no_alike_pair():
+    r, sets = np.random.default_rng(4), [np.empty(0, np.uint32)]
+    for n in (3, 60, 64, 70, 260, 1000):
+        base = r.integers(0, 1 << 32, n, dtype=np.uint32)
+        for lost in (0, 1, n // 12, n // 5, n // 3):
+            sets.append(np.unique(np.concatenate((base[lost:], r.integers(0, 1 << 32, lost // 3, dtype=np.uint32)))))
+    packed = np.empty(len(sets), object)
+    packed[:] = [parity(x) for x in sets]
+    filtered = Parities(np.array([len(x) for x in sets]), packed, 0.8)
+    passed = [set(filtered.alike(i, np.arange(len(sets))).tolist()) for i in range(len(sets))]
+    alike = [{j for j in range(len(sets)) if jaccard(sets[i], sets[j]) >= 0.8} for i in range(len(sets))]
+    assert all(a <= p for a, p in zip(alike, passed))
+    assert sum(map(len, passed)) < 2 * sum(map(len, alike))
+
+
 def test_similar_documents_match_brute_force(spark, table):
     r = random.Random(8)
     rows = list(ODD)
