@@ -31,6 +31,8 @@ SHARD_LIMIT = 16_384
 #: Fingerprints of each text in the search for similar texts, and how often a word counts in them at most.
 KINDS, MAX_COUNT = 12, 2
 SIMILARITY, SHINGLE_WORDS = 0.8, 5
+#: Parts of each text in that search: two shingles each, so that a pair at 0.8 shares one with 1 - (1 - 0.8**2)**PARTS.
+PARTS = 8
 
 #: Four groups of bits for each dealing: by the base-4 digits of a bit's number, the highest digit first.
 GROUPS = [[sum(1 << i for i in range(64) if i // 4**digit % 4 == g) for g in range(4)] for digit in (2, 0, 1)]
@@ -165,6 +167,21 @@ def _links(radius: int):
     return run
 
 
+def part_prints(shingles: np.ndarray) -> list[int]:
+    """One print for each of ``PARTS`` parts, the two shingles that are least under hashes of the part's own.
+
+    A shingle that is least in one text is least in the other with the
+    probability of their Jaccard similarity, wherever the texts differ.
+    """
+    if not len(shingles):
+        return []
+    k = np.arange(1, 2 * PARTS + 1, dtype=np.uint64)[:, None]
+    h = (shingles.astype(np.uint64) + (k << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    least = (h ^ h >> np.uint64(32)).min(axis=1).reshape(PARTS, 2)
+    return ((least[:, 0] ^ least[:, 1] >> np.uint64(7)) * np.uint64(0xFF51AFD7ED558CCD) ^ least[:, 1]).view(np.int64).tolist()
+
+
 def parity(shingles: np.ndarray) -> bytes:
     """Whether an odd number of the distinct hashes falls on each of 64 bits or more, a bit for each hash."""
     bits = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
@@ -378,8 +395,10 @@ def similar_documents(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity
     """doc_id, component_id (the smallest id of its group) of the documents that are alike or equal to another.
 
     Equal texts count once.  Texts with one of ``KINDS`` word fingerprints
-    within the radius are candidates, found by BK-trees; links are those that
-    share at least ``similarity`` of their distinct ``words``-word shingles.
+    within the radius are candidates, found by BK-trees, and so are texts that
+    share one of ``PARTS`` parts, which finds copies with a block added, cut or
+    replaced; links are those that share at least ``similarity`` of their
+    distinct ``words``-word shingles.
     Links that connect the candidates are verified first; then every other
     candidate pair between two of the resulting components, so that no pair
     is left out for a link that proved wrong.
@@ -389,7 +408,7 @@ def similar_documents(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity
     spark = docs.sparkSession
     small_batches(spark)
     rows = keyed_texts(docs, id_col, text_col).filter("doc_id is not null")
-    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("prints", pa.list_(pa.int64())), ("size", pa.int64()), ("parity", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("prints", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64())), ("size", pa.int64()), ("parity", pa.binary())])
 
     def make():
         from xxhash import xxh3_128_digest
@@ -398,29 +417,38 @@ def similar_documents(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity
 
         def work(text: str) -> tuple:
             shingles = shingle_set(text, words, memo)
-            return xxh3_128_digest(text.encode()), prints.of(text), len(shingles), parity(shingles)
+            return xxh3_128_digest(text.encode()), prints.of(text), part_prints(shingles), len(shingles), parity(shingles)
 
         return work
 
-    marked = cut_lineage(rows.mapInArrow(by_text(make, schema), "doc_id long, same binary, prints array<long>, size long, parity binary"))
+    marked = cut_lineage(rows.mapInArrow(by_text(make, schema), "doc_id long, same binary, prints array<long>, parts array<long>, size long, parity binary"))
     small_batches(spark, 10_000)
-    of_text = F.min(F.struct("doc_id", "prints", "size", "parity")).alias("x")
-    firsts = cut_lineage(marked.groupBy("same").agg(of_text).select("same", F.col("x.doc_id").alias("first"), "x.prints", "x.size", "x.parity"))
+    of_text = F.min(F.struct("doc_id", "prints", "parts", "size", "parity")).alias("x")
+    firsts = cut_lineage(marked.groupBy("same").agg(of_text).select("same", F.col("x.doc_id").alias("first"), "x.prints", "x.parts", "x.size", "x.parity"))
     copies = marked.join(firsts.select("same", "first"), "same").filter("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    each = firsts.select(F.col("first").alias("id"), F.posexplode("prints").alias("kind", "print")).select("id", F.col("kind").cast("long").alias("shard"), "print")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = firsts.select(F.col("first").alias("id"), F.posexplode(F.concat("prints", "parts")).alias("kind", "print")).select("id", F.col("kind").cast("long").alias("shard"), "print")
     nodes = cut_lineage(each.groupBy("shard", "print").agg(F.min("id").alias("node")))
-    equal = each.join(nodes, ["shard", "print"]).filter(F.col("id") > F.col("node")).select(F.col("id").alias("a"), F.col("node").alias("b"))
-    near = linked(nodes).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = cut_lineage(equal.unionByName(near).filter(F.col("a") > F.col("b")).distinct())
-    alike = cut_lineage(similar_pairs(rows, pairs, words, similarity))
+    equal = each.join(nodes, ["shard", "print"]).filter(F.col("id") > F.col("node")).select(F.col("id").alias("a"), F.col("node").alias("b"), (F.col("shard") < KINDS).alias("by_words"))
+    near = linked(nodes.filter(F.col("shard") < KINDS)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(True).alias("by_words"))
+    pairs = cut_lineage(equal.unionByName(near).filter(F.col("a") > F.col("b")).groupBy("a", "b").agg(F.max("by_words").alias("by_words")))
+    alike = cut_lineage(similar_pairs(rows, pairs.select("a", "b"), words, similarity))
     # Every text with a candidate has one in ``pairs``; what is still apart there is compared in full.
     roots = components(alike).select(F.col("node").alias("first"), F.col("root").alias("comp"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("first")).distinct()
-    still = firsts.join(ends, "first").join(roots, "first", "left").select(F.col("first").alias("node"), F.coalesce("comp", "first").alias("comp"), "size", "parity", F.posexplode("prints").alias("shard", "print"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("first"), "by_words").groupBy("first").agg(F.max("by_words").alias("by_words"))
+    still = firsts.join(ends, "first").join(roots, "first", "left").select(F.col("first").alias("node"), F.coalesce("comp", "first").alias("comp"), "size", "parity", "prints", "parts", "by_words")
+    still = cut_lineage(still)
+    carried = ("comp", "size", "parity")
     small_batches(spark, 10_000)
-    missed = linked(still.withColumn("shard", F.col("shard").cast("long")), carried=("comp", "size", "parity"), links=_open_pairs(RADIUS, similarity))
+    by_words = still.filter("by_words").select("node", *carried, F.posexplode("prints").alias("shard", "print")).withColumn("shard", F.col("shard").cast("long"))
+    missed = linked(by_words, carried=carried, links=_open_pairs(RADIUS, similarity))
+    keys = still.select("node", "comp", F.posexplode("parts").alias("kind", "print")).select("node", "comp", "print", F.xxhash64("kind", "print").alias("shard"))
+    apart = keys.groupBy("shard").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("shard")
+    open_keys = keys.join(apart, "shard").join(still.select("node", "size", "parity"), "node").select("node", "print", *carried, "shard")
+    by_parts = open_keys.repartition(n, "shard").sortWithinPartitions("shard", "print").mapInArrow(_open_pairs(0, similarity), "a long, b long")
+    missed = missed.unionByName(by_parts)
     missed = missed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") > F.col("b")).distinct()
-    missed = cut_lineage(missed.join(pairs, ["a", "b"], "left_anti"))
+    missed = cut_lineage(missed.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     if not missed.isEmpty():
         alike = alike.unionByName(similar_pairs(rows, missed, words, similarity))
     return components(alike.unionByName(copies)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

@@ -5,7 +5,8 @@ import xxhash
 from conftest_llm import ODD, words
 
 from spoolglass.llm.graph import components
-from spoolglass.llm.simhash import KINDS, BKTree, Parities, WordPrints, fingerprint, jaccard, near_duplicates, parity, similar_documents
+from spoolglass.llm.repeats import WordMemo
+from spoolglass.llm.simhash import KINDS, BKTree, Parities, WordPrints, fingerprint, jaccard, near_duplicates, parity, part_prints, shingle_set, similar_documents
 
 
 def brute_print(text, size=3):
@@ -106,6 +107,7 @@ def test_every_candidate_pair_between_components_is_verified(spark, table):
             copy[at] = f"w{r.randrange(10**6)}"
         rows.append((i, " ".join(copy)))
     sets, prints = [shingled(t) for _, t in rows], [WordPrints().of(t) for _, t in rows]
+    parts = [part_prints(shingle_set(t, 5, WordMemo())) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -115,7 +117,7 @@ def test_every_candidate_pair_between_components_is_verified(spark, table):
 
     for i in range(len(rows)):
         for j in range(i):
-            near = any((x ^ y).bit_count() <= 3 for x, y in zip(prints[i], prints[j]))
+            near = any((x ^ y).bit_count() <= 3 for x, y in zip(prints[i], prints[j])) or any(x == y for x, y in zip(parts[i], parts[j]))
             both = len(sets[i] & sets[j])
             if near and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((root(i), root(j)))
@@ -124,6 +126,23 @@ def test_every_candidate_pair_between_components_is_verified(spark, table):
     assert all(found.get(i, i) == root(i) for i in range(len(rows)))
 
 
+def test_copies_with_a_block_edited(spark, table):
+    """Texts with a block appended, cut off or replaced, each alike to its base by 0.8 or more."""
+    rows, pairs = [], []
+    for g in range(60):
+        base, new = words(150 + 20 * g, 700 + g), words(400, 800 + g)
+        n = len(base)
+        edits = (base + new[: n * 22 // 100], base[: n * 84 // 100], base[: n // 3] + new[: n * 8 // 100] + base[n // 3 + n * 8 // 100 :])
+        rows.append((10 * g, " ".join(base)))
+        rows += [(10 * g + k, " ".join(e)) for k, e in enumerate(edits, 1)]
+        pairs += [(10 * g + k, 10 * g) for k in (1, 2, 3)]
+    sets = {i: shingled(t) for i, t in rows}
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in pairs)
+    found = dict(map(tuple, similar_documents(table(rows)).collect()))
+    assert all(c == i // 10 * 10 for i, c in found.items())
+    assert sum(found.get(a) == b for a, b in pairs) >= 0.99 * len(pairs)
+
+
 def test_parities_refuse_no_alike_pair():
     r, sets = np.random.default_rng(4), [np.empty(0, np.uint32)]
     for n in (3, 60, 64, 70, 260, 1000):
