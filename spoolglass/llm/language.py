@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from spoolglass.llm.common import small_batches
 
 ORDER = 4
-#: The model holds at most one n-gram for each slot of a hash of language and n-gram, the commonest.
-SLOTS = 1 << 21
 DISCOUNT = 0.75
 #: How sharply differences of cross-entropy turn into a score.
 SHARPNESS = 12.0
@@ -234,9 +232,8 @@ class Identifier:
 
 
 def train(labelled: DataFrame, order: int = ORDER) -> Model:
-    """The model of all rows (text, lang): the commonest n-gram of each slot reaches the driver, at most ``SLOTS`` rows."""
-    counts = gram_counts(labelled, order).select(F.pmod(F.xxhash64("lang", "gram"), F.lit(SLOTS)).alias("slot"), F.struct("n", "lang", "gram").alias("x"))
-    found = counts.groupBy("slot").agg(F.max("x").alias("x")).select("x.*").toArrow()
+    """The model of all rows (text, lang), from every n-gram of every language: one row for each reaches the driver."""
+    found = gram_counts(labelled, order).toArrow()
     lang = found.column("lang").to_pylist()
     langs = sorted(set(lang))
     number = {x: i for i, x in enumerate(langs)}

@@ -1,10 +1,11 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from conftest_llm import ODD
 
-from spoolglass.llm.language import CLOSE, DISCOUNT, OPEN, Model, hashes, identify
+from spoolglass.llm.language import CLOSE, DISCOUNT, OPEN, Model, gram_counts, grams_of, hashes, identify, train
 
 
 def test_model_matches_the_definition():
@@ -69,3 +70,15 @@ def test_held_out_accuracy(spark, table):
 def test_no_labels(spark, table):
     assert {r.lang_pred for r in identify(table(ODD)).collect()} == {"und"}
     assert identify(table([])).count() == 0
+
+
+def test_model_holds_every_gram(spark):
+    r = random.Random(9)
+    rows = [(" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(1500)), lang) for lang in ("aa", "bb", "cc")]
+    expected = {lang: Counter() for _, lang in rows}
+    for text, lang in rows:
+        grams_of(Counter(text.split()), 4, expected[lang])
+    model = train(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.levels[-1].keys) == len(set().union(*expected.values()))
+    found = {lang: Counter({r.gram: r.n for r in gram_counts(spark.createDataFrame([(t, x) for t, x in rows if x == lang], "text string, lang string")).collect()}) for lang in expected}
+    assert found == expected
