@@ -11,13 +11,16 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spoolglass.llm.common import by_text, filter_texts, keyed_texts, small_batches
+from spoolglass.llm.common import by_text, filter_texts, keyed_texts
 
 LEVEL = 3
 CHUNK_BYTES = 4096
 
-#: (bytes up to, lowest ratio, highest ratio) for whole documents and chunks alike.
-BANDS = ((512, 1.0, 3.0), (2048, 1.2, 4.0), (8192, 1.4, 5.0), (32768, 1.5, 6.0), (float("inf"), 1.6, 6.5))
+#: (bytes up to, lowest ratio, highest ratio) for whole documents and chunks alike.  The low limits lie between what
+#: base64-like noise reaches at a length (1.18 at 360 bytes, 1.26 at 600, 1.33 at 1.2 KB, 1.40 from 5 KB on) and the
+#: least ratio of ordinary prose (1.35, 1.43, 1.69, 1.92 and more in the sample tables, lower for three-byte scripts);
+#: the high limits lie a fifth or more above the greatest of prose that passes the base rule (1.85 to 2.9).
+BANDS = ((512, 1.2, 2.3), (1024, 1.3, 2.6), (2048, 1.4, 2.9), (8192, 1.5, 3.2), (32768, 1.6, 3.6), (float("inf"), 1.6, 4.2))
 
 #: Share of a document's chunks that may lie outside their band.
 MAX_BAD_CHUNKS = 0.5
@@ -79,6 +82,12 @@ def within(size: int, ratio: float) -> bool:
     return low <= ratio <= high
 
 
+def chunks_of(raw: bytes) -> list[bytes]:
+    """Chunks of ``CHUNK_BYTES``; a rest of less than a quarter of that belongs to the chunk before it."""
+    starts = list(range(0, max(1, len(raw) - CHUNK_BYTES // 4 + 1), CHUNK_BYTES))
+    return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+
+
 class Bands:
     def __init__(self) -> None:
         import zstandard
@@ -95,10 +104,7 @@ class Bands:
         whole = self.ratio(raw)
         chunks = [(len(raw), whole)]
         if len(raw) > CHUNK_BYTES:
-            parts = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw), CHUNK_BYTES)]
-            if len(parts[-1]) < CHUNK_BYTES // 4:
-                parts.pop()
-            chunks = [(len(p), self.ratio(p)) for p in parts]
+            chunks = [(len(p), self.ratio(p)) for p in chunks_of(raw)]
         bad = sum(not within(n, r) for n, r in chunks) / len(chunks)
         ratios = [r for _, r in chunks]
         return within(len(raw), whole) and bad <= MAX_BAD_CHUNKS, whole, min(ratios), max(ratios), bad
@@ -126,7 +132,6 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     have no words and fail; a null id stays null; repeated rows each give a
     row; other columns are not read.  No rows give no rows.
     """
-    small_batches(docs.sparkSession)
 
     def make():
         bands = Bands()
