@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch, so that a batch of very long texts fits a small worker.
-BATCH_ROWS = 256
+#: Rows and bytes of text that a worker turns into Python objects at once; Spark bounds the bytes of an Arrow batch.
+PIECE_ROWS, PIECE_BYTES = 256, 4 << 20
 
 #: ASCII white space, the separator of ``[^\x20\x09-\x0D]+`` words; bytes.split() uses the same set.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -25,18 +26,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch for the plans built after this call."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``PIECE_ROWS`` and, but for single longer texts, ``PIECE_BYTES`` of the column at most."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < batch.num_rows:
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_BYTES, side="right"))
+            stop = min(at + PIECE_ROWS, max(at + 1, most))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only where all run in one process tree on one machine."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         have = sc._jsc.sc().getCheckpointDir()
-        where = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="spoolglass-")
+        if have.isDefined():
+            where = have.get()
+        elif sc.master.partition("[")[0] == "local":
+            where = tempfile.mkdtemp(prefix="spoolglass-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
     return where
@@ -57,6 +75,26 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]):
+    """What ``make()`` gives, kept in this process: a worker's later tasks find it, with what it has learnt since."""
+    if key not in _KEPT:
+        while len(_KEPT) >= 4:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def free_name(taken: DataFrame | list[str], name: str) -> str:
+    """The name, or with underscores added until no column has it (in any case)."""
+    used = {c.lower() for c in (taken if isinstance(taken, list) else taken.columns)}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def by_text(
     make: Callable[[], Callable[[str], tuple]], schema: pa.Schema
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -64,9 +102,7 @@ def by_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             rows = [work(t) for t in batch.column("text").to_pylist()]
             columns = list(zip(*rows, strict=True))
             arrays = [batch.column("doc_id")]
@@ -78,21 +114,30 @@ def by_text(
 
 def filter_texts(docs: DataFrame, make: Callable[[], Callable[[str], bool]], text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text ``make()`` accepts; null text is the empty text."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accepts = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array([accepts(t or "") for t in batch.column(text_col).to_pylist()], pa.bool_()))
+        for batch in pieces(batches, text_col):
+            yield batch.filter(pa.array([accepts(t or "") for t in batch.column(text_col).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def repeated_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame | None:
-    """Ids that more than one row has, or None where there are none."""
-    found = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
-    return None if found.isEmpty() else found
+def row_keys(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """Rows with a key that no two of them share, and its name: the ids themselves where none is null or repeated.
+
+    Else the rows are written once, sorted by id (null last), then by a hash of
+    the text columns, and numbered in that order, so that a smaller id has a
+    smaller key.
+    """
+    ids = docs.groupBy(id_col).count().filter(F.col(id_col).isNull() | (F.col("count") > 1))
+    if ids.isEmpty():
+        return docs, id_col
+    key = free_name(docs, "row_key")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(id_col).asc_nulls_last(), F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if kind == "string"] or [F.lit(0)])]
+    numbered = docs.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id())
+    return cut_lineage(numbered), key
 
 
 class Bloom:
