@@ -18,11 +18,12 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spoolglass.llm.common import by_text, keyed_texts, small_batches
+from spoolglass.llm.common import by_text, kept, keyed_texts
 
 MARK = "▁"
 
@@ -38,14 +39,71 @@ SCHEMA = pa.schema(
 DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def wire_fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a serialised message, nested ones as bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            out, shift, at = out | (byte & 127) << shift, shift + 7, at + 1
+            if byte < 128:
+                return out
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(key & 7) or varint()
+        yield key >> 3, raw[at : at + size]
+        at += size
+
+
+def refuse_unhandled(model: bytes) -> None:
+    """Raise for models whose encoding differs from the one of this module.
+
+    Handled are merge-type models with byte fallback and no user-defined
+    pieces, whose normaliser changes nothing, keeps white space, and puts a
+    mark in front.
+    """
+    trainer, normaliser, user_defined = {}, {}, False
+    for number, value in wire_fields(model):
+        if number == 1:
+            user_defined |= dict(wire_fields(value)).get(3) == 4
+        elif number == 2:
+            trainer = dict(wire_fields(value))
+        elif number == 3:
+            normaliser = dict(wire_fields(value))
+    wrong = {
+        "not of the merge type": trainer.get(3, 1) != 2,
+        "no byte fallback": not trainer.get(35),
+        "white space as a suffix": trainer.get(24),
+        "user-defined pieces": user_defined,
+        "a normaliser that changes characters": normaliser.get(2) or normaliser.get(6),
+        "no mark in front": not normaliser.get(3, 1),
+        "white space removed": normaliser.get(4, 1),
+        "white space not marked": not normaliser.get(5, 1),
+    }
+    if found := [what for what, is_so in wrong.items() if is_so]:
+        raise ValueError(f"models with this are not supported: {', '.join(found)}")
+
+
 class PrefixTableEncoder:
-    """Encodes as the library does for a BPE model with an identity normaliser and byte fallback."""
+    """Encodes as the library does, for the models that ``refuse_unhandled`` lets pass.
+
+    tokens: ids of the pieces that are their own encoding, where they are
+    known already; they are found by trying each piece.
+    """
 
-    def __init__(self, model_path: str) -> None:
+    def __init__(self, model: bytes, tokens: frozenset[int] | None = None) -> None:
         import ahocorasick
         import sentencepiece
 
-        self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        refuse_unhandled(model)
+        self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
         self.end_id = sp.eos_id()
         self.score: dict[str, float] = {}
@@ -68,7 +126,7 @@ class PrefixTableEncoder:
         self.automaton = ahocorasick.Automaton()
         self.texts: dict[int, str] = {}
         for piece, i in self.ids.items():
-            if self.merged(piece) == [piece]:  # others can never be a token
+            if i in tokens if tokens is not None else self.merged(piece) == [piece]:  # others can never be a token
                 self.texts[i] = piece
                 self.automaton.add_word(piece, (len(piece), i, {}))  # with the tokens tested before it
         self.automaton.make_automaton()
@@ -175,12 +233,16 @@ def encode_decode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids``
     also ids and decoded.  A null text is the empty text (the end id alone); a
     null id stays null; repeated rows each give a row; other columns of
-    ``docs`` are not read.  An empty table gives an empty result.
+    ``docs`` are not read.  An empty table gives an empty result.  The model is
+    read and its pieces are tried on the driver, once for each model.
     """
-    small_batches(docs.sparkSession)
+    with open(model_path, "rb") as f:
+        model = f.read()
+    name = f"pieces {hashlib.sha256(model).hexdigest()}"
+    shared = docs.sparkSession.sparkContext.broadcast((model, frozenset(kept(name, lambda: PrefixTableEncoder(model)).texts)))
 
     def make():
-        encoder = PrefixTableEncoder(model_path)
+        encoder = kept(name, lambda: PrefixTableEncoder(*shared.value))
 
         def work(text: str) -> tuple:
             ids, written = encoder.encoded(text)

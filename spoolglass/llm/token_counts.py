@@ -1,19 +1,21 @@
 """Operator 4: token counts of a byte-level BPE vocabulary without building ids.
 
-Offline, each vocabulary string is tried: those that the pre-tokeniser leaves
-whole and that merge into the one token themselves form the whole-token set.
+Offline, each vocabulary string is tried once, on the driver: those that the
+pre-tokeniser leaves whole and that merge into the one token themselves form
+the whole-token set, which the workers are given.
 A pre-token in that set counts one, with no merging; the rest are merged by
 rank, once for each distinct pre-token while the bounded memo holds it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spoolglass.llm.common import by_text, keyed_texts, small_batches
+from spoolglass.llm.common import by_text, kept, keyed_texts
 from spoolglass.llm.piece_tokens import Memo
 
 #: The byte-level pre-tokeniser's pattern (fixed by the vocabulary's format).
@@ -33,33 +35,54 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def refuse_unhandled(spec: dict) -> None:
+    """Raise for vocabularies whose counts differ from the ones of this module."""
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    wrong = {
+        "not of the merge type": model.get("type", "BPE") != "BPE",
+        "a normaliser": spec["normalizer"],
+        "another pre-tokeniser": split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True),
+        "merges ignored": model.get("ignore_merges"),
+        "dropout": model.get("dropout"),
+        "marked parts of words": model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"),
+        "truncation or padding": spec.get("truncation") or spec.get("padding"),
+        "special strings that take their surroundings": any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")),
+        "special strings that overlap": any(a["content"] != b["content"] and a["content"] in b["content"] for a in spec["added_tokens"] for b in spec["added_tokens"]),
+    }
+    if found := [what for what, is_so in wrong.items() if is_so]:
+        raise ValueError(f"vocabularies with this are not supported: {', '.join(found)}")
+
+
 class TokenCounter:
-    def __init__(self, vocabulary_path: str) -> None:
+    """whole: the whole-token set, where it is known already."""
+
+    def __init__(self, vocabulary: bytes, whole: frozenset[str] | None = None) -> None:
         import regex
 
-        with open(vocabulary_path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(vocabulary)
+        refuse_unhandled(spec)
         letters = byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
-        self.rank = {(a, b): i for i, (a, b) in enumerate(spec["model"]["merges"])}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.split = regex.compile(PRE_TOKENS)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(regex.escape(s) for s in special)) if special else None
         self.special_strings = special
-        self.whole = self.whole_tokens(spec["model"]["vocab"])
+        self.whole = dict.fromkeys(self.whole_tokens(spec["model"]["vocab"]) if whole is None else whole, 1)
         self.counts = Memo(self._merged_count, MEMO_WORDS)
 
-    def whole_tokens(self, vocabulary) -> dict[str, int]:
-        """Vocabulary strings that are one pre-token and merge into themselves, each with the count 1."""
+    def whole_tokens(self, vocabulary) -> set[str]:
+        """Vocabulary strings that are one pre-token and merge into themselves."""
         back = {c: b for b, c in self.letters.items()}
-        out = {}
+        out = set()
         for token in vocabulary:
             try:
                 text = bytes(back[c] for c in token).decode()
             except (KeyError, UnicodeDecodeError):
                 continue
             if self.split.findall(text) == [text] and self.merged(list(token)) == [token]:
-                out[text] = 1
+                out.add(text)
         return out
 
     def merged(self, parts: list[str]) -> list[str]:
@@ -119,10 +142,14 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, *, limit: int = DEFAULT_
     (no bytes, no tokens); a null id stays null; repeated rows each give a row;
     other columns are not read.  An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+
+    with open(vocabulary_path, "rb") as f:
+        vocabulary = f.read()
+    name = f"counts {hashlib.sha256(vocabulary).hexdigest()}"
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, frozenset(kept(name, lambda: TokenCounter(vocabulary)).whole)))
 
     def make():
-        counter = TokenCounter(vocabulary_path)
+        counter = kept(name, lambda: TokenCounter(*shared.value))
 
         def work(text: str) -> tuple:
             n = counter.count(text)
