@@ -4,8 +4,9 @@ Messages form trees by parent.  Self-joins double the reach of every node's
 ancestor link until all have met their root, which gives each branch (a leaf
 with its root) its summed score.  The chosen branches are then walked back by
 the same links, from the longest to the shortest, so a path of n messages takes
-log2(n) joins and n rows.  Each path is formatted as one conversation, a row
-for each turn, so no conversation has to fit in memory.
+log2(n) joins and n rows.  Each path is formatted as one conversation in one
+row; those of several megabytes go on in further rows, so that none has to fit
+in memory.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoolglass.llm.common import cut_lineage, small_batches
+from spoolglass.llm.common import as_batch, cut_lineage, pieces
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
@@ -90,69 +91,140 @@ def parsed_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-TURN_SCHEMA = pa.schema([("tree_id", pa.int64()), ("branch", pa.int32()), ("depth", pa.int64()), ("formatted", pa.string()), ("mask_start", pa.int64()), ("mask_end", pa.int64())])
-TURN_DDL = "tree_id long, branch int, depth long, formatted string, mask_start long, mask_end long"
+#: Characters after which a conversation goes on in another row: nearly all are one row, none has to fit in memory.
+PART_CHARS = 4 << 20
 
+PART_SCHEMA = pa.schema(
+    [("tree_id", pa.int64()), ("branch", pa.int32()), ("part", pa.int32()), ("last", pa.bool_()), ("n_turns", pa.int64()), ("formatted", pa.string())]
+    + [(n, pa.list_(pa.int64())) for n in ("mask_starts", "mask_ends")]
+)
+PART_DDL = "tree_id long, branch int, part int, last boolean, n_turns long, formatted string, mask_starts array<long>, mask_ends array<long>"
 
-def format_conversations(messages: DataFrame, *, branches: int = 1) -> DataFrame:
-    """The chosen branches of ``messages`` (tree_id, node_id, parent_id, score, role, text), formatted.
 
-    One row for each turn, ordered within its partition by tree_id, branch and
-    depth, with all turns of a conversation in one partition: joined in that
-    order, the column ``formatted`` is the conversation.  The loss mask covers
-    the code points from mask_start to mask_end.  Null roles and texts are
-    empty; see ``paths`` for ids.  Other columns are not read.
+class Conversation:
+    """One conversation as it grows, turn by turn; full parts are given away."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key, self.part = key, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.turns, self.starts, self.ends, self.size = [], [], [], 0
+
+    def add(self, role: str, text: str) -> None:
+        turn, start, end = formatted_turn(role, text)
+        if end:
+            self.starts.append(self.size + start)
+            self.ends.append(self.size + end)
+        self.turns.append(turn)
+        self.size += len(turn)
+
+    def row(self, last: bool) -> tuple:
+        out = (*self.key, self.part, last, len(self.turns), "".join(self.turns), self.starts, self.ends)
+        self.part += 1
+        self.clear()
+        return out
+
+
+def format_conversations(messages: DataFrame, *, branches: int = 1, part_chars: int = PART_CHARS) -> DataFrame:
+    """The chosen branches of ``messages`` (tree_id, node_id, parent_id, score, role, text), each as one conversation.
+
+    One row for each conversation: tree_id, branch, n_turns, formatted, and the
+    loss mask, which covers the code points of ``formatted`` from each of
+    mask_starts to that of mask_ends.  A conversation of over ``part_chars``
+    goes on in further rows, cut between turns: ``part`` counts them and
+    ``last`` marks the final one.  Null roles and texts are empty; see
+    ``paths`` for ids.  Other columns are not read.
     """
-    small_batches(messages.sparkSession)
     n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = messages.groupBy(F.struct("tree_id").alias("t"), "node_id").agg(F.min(F.struct("parent_id", "role", "text")).alias("x"))
     rows = paths(messages, branches=branches).select(F.struct("tree_id").alias("t"), "branch", "node_id", "depth").join(texts, ["t", "node_id"])
     rows = rows.select(F.col("t.tree_id").alias("tree_id"), "branch", "depth", F.coalesce("x.role", F.lit("")).alias("role"), F.coalesce("x.text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            turns = [formatted_turn(r, t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            columns = list(zip(*turns, strict=True)) or [(), (), ()]
-            arrays = [batch.column(c) for c in ("tree_id", "branch", "depth")] + [pa.array(c, f.type) for c, f in zip(columns, list(TURN_SCHEMA)[3:], strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=TURN_SCHEMA.names)
+        now, out, size = None, [], 0
+        for batch in pieces(batches):
+            for tree, branch, role, text in zip(*(batch.column(c).to_pylist() for c in ("tree_id", "branch", "role", "text")), strict=True):
+                if now is None or now.key != (tree, branch):
+                    if now is not None:
+                        out.append(now.row(True))
+                    now = Conversation((tree, branch))
+                elif now.size > part_chars:
+                    out.append(now.row(False))
+                now.add(role, text)
+                size += len(text)
+            if size > part_chars and out:
+                yield as_batch(out, PART_SCHEMA)
+                out, size = [], 0
+        if now is not None:
+            yield as_batch([*out, now.row(True)], PART_SCHEMA)
 
-    return rows.repartition(n, "tree_id", "branch").sortWithinPartitions("tree_id", "branch", "depth").mapInArrow(run, TURN_DDL)
+    return rows.repartition(n, "tree_id", "branch").sortWithinPartitions("tree_id", "branch", "depth").mapInArrow(run, PART_DDL)
 
 
-DIGEST_SCHEMA = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-DIGEST_DDL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGESTS = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+DIGEST_SCHEMA = pa.schema([("conv_id", pa.int64()), ("branch", pa.int32()), *DIGESTS])
+DIGEST_DDL = "conv_id long, branch int, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(turns: DataFrame) -> DataFrame:
-    """Parse formatted conversations as ``format_conversations`` orders them; one row of digests for each."""
+class Reading:
+    """What the parts of a conversation say, read in order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, said, learned, chars, size, out = None, 0, None, None, 0, 0, []
-
-        def close() -> None:
-            if key is not None:
-                out.append((key[0], n, said.hexdigest(), chars, learned.hexdigest(), size))
-
-        for batch in batches:
-            for tree, branch, text, a, b in zip(*(batch.column(c).to_pylist() for c in ("tree_id", "branch", "formatted", "mask_start", "mask_end")), strict=True):
-                if key != (tree, branch):
-                    close()
-                    key, n, chars, size, said, learned = (tree, branch), 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                for role, said_text in parsed_turns(text):
-                    n += 1
-                    said.update(f"{role}\n{said_text}\n".encode())
-                masked = unescaped(text[a:b])
-                learned.update(masked.encode())
-                chars += len(masked)
-                size += len(text)
-            if len(out) > 5_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DIGEST_SCHEMA, strict=True)], schema=DIGEST_SCHEMA)
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DIGEST_SCHEMA, strict=True)], schema=DIGEST_SCHEMA)
-
-    return turns.mapInArrow(run, DIGEST_DDL)
+    def __init__(self, key: tuple) -> None:
+        self.key, self.n, self.chars, self.size, self.said, self.learned = key, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, formatted: str, starts: list[int], ends: list[int]) -> None:
+        for role, text in parsed_turns(formatted):
+            self.n += 1
+            self.said.update(f"{role}\n{text}\n".encode())
+        for a, b in zip(starts, ends, strict=True):
+            masked = unescaped(formatted[a:b])
+            self.learned.update(masked.encode())
+            self.chars += len(masked)
+        self.size += len(formatted)
+
+    def row(self) -> tuple:
+        return (*self.key, self.n, self.said.hexdigest(), self.chars, self.learned.hexdigest(), self.size)
+
+
+def read_back(conversations: DataFrame) -> DataFrame:
+    """Parse formatted conversations, in whatever order their rows are; one row of digests for each.
+
+    Conversations in one row are read where they are; only the parts of longer
+    ones are brought together and sorted.
+    """
+    n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = ("part", "formatted", "mask_starts", "mask_ends")
+    first_schema = pa.schema([*DIGEST_SCHEMA, *(PART_SCHEMA.field(c) for c in left)])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "formatted"):
+            rows = []
+            for tree, branch, part, last, _, formatted, starts, ends in zip(*(batch.column(c).to_pylist() for c in PART_SCHEMA.names), strict=True):
+                if part or not last:
+                    rows.append((tree, branch, *[None] * len(DIGESTS), part, formatted, starts, ends))
+                    continue
+                reading = Reading((tree, branch))
+                reading.add(formatted, starts, ends)
+                rows.append((*reading.row(), *[None] * len(left)))
+            yield as_batch(rows, first_schema)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out = None, []
+        for batch in pieces(batches, "formatted"):
+            for tree, branch, formatted, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "branch", *left[1:])), strict=True):
+                if now is None or now.key != (tree, branch):
+                    out += [] if now is None else [now.row()]
+                    now = Reading((tree, branch))
+                now.add(formatted, starts, ends)
+        if now is not None:
+            yield as_batch([*out, now.row()], DIGEST_SCHEMA)
+
+    # Written once: the digests are small, and the parts of very long conversations few.
+    read = cut_lineage(conversations.mapInArrow(whole, f"{DIGEST_DDL}, part int, formatted string, mask_starts array<long>, mask_ends array<long>"))
+    split = read.filter("formatted is not null").repartition(n, "conv_id", "branch").sortWithinPartitions("conv_id", "branch", "part")
+    found = read.filter("formatted is null").select(*DIGEST_SCHEMA.names).unionByName(split.mapInArrow(parts, DIGEST_DDL))
+    return found.drop("branch")
 
 
 def as_reply_chain(conversations: DataFrame) -> DataFrame:

@@ -65,3 +65,30 @@ def test_conversations(spark):
         size = sum(len(formatted_turn(*x)[0]) for x in turns)
         assert tuple(found[c])[1:] == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), size)
     assert read_back(format_conversations(as_reply_chain(df.limit(0)))).count() == 0
+    # Conversations in many rows, which come in any order, give the same.
+    split = format_conversations(as_reply_chain(df), part_chars=5)
+    assert split.filter("part > 0").count() > 3
+    assert {r.conv_id: r for r in read_back(split.orderBy("part", "tree_id")).collect()} == found
+
+
+def test_a_path_is_one_conversation(spark):
+    rows = [(1, 0, None, 0.0, "system", "s"), (1, 1, 0, 1.0, "user", "u"), (1, 2, 1, 5.0, "assistant", "<|best|>"), (1, 3, 1, 2.0, "assistant", "other"), (2, 7, None, None, None, None)]
+    df = spark.createDataFrame(rows, TREE).selectExpr("*", "1 AS branch", "2 AS depth", "3 AS part", "4 AS formatted", "5 AS last")
+    found = sorted(format_conversations(df, branches=2).collect(), key=lambda r: (r.tree_id, r.branch))
+    assert [(r.tree_id, r.branch, r.part, r.last, r.n_turns) for r in found] == [(1, 1, 0, True, 3), (1, 2, 0, True, 3), (2, 1, 0, True, 1)]
+    assert parsed_turns(found[0].formatted) == [("system", "s"), ("user", "u"), ("assistant", "<|best|>")]
+    assert [unescaped(found[0].formatted[a:b]) for a, b in zip(found[0].mask_starts, found[0].mask_ends)] == ["<|best|>"]
+    assert found[1].formatted.endswith("other<|im_end|>\n") and found[2].mask_starts == []
+
+
+def test_a_very_long_conversation_and_a_giant_tree(spark):
+    n = 3000
+    chain = spark.range(n).selectExpr("7 AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('<|x', 40) AS text")
+    found = read_back(format_conversations(as_reply_chain(chain), part_chars=10_000)).collect()
+    text = "<|x" * 40
+    said = "".join(f"{('user', 'assistant')[i % 2]}\n{text}\n" for i in range(n))
+    assert [(r.n_turns, r.turns_sha256, r.loss_chars) for r in found] == [(n, hashlib.sha256(said.encode()).hexdigest(), n // 2 * len(text))]
+    tree = spark.range(1, 20_000).selectExpr("1L AS tree_id", "id AS node_id", "if(id = 1, null, id div 2) AS parent_id", "cast(id as double) AS score", "'user' AS role", "'t' AS text")
+    best = max(range(10_000, 20_000), key=lambda i: (sum(i >> k for k in range(i.bit_length())), -i))
+    walk = [best >> k for k in reversed(range(best.bit_length()))]
+    assert [r.node_id for r in paths(tree).orderBy("depth").collect()] == walk
