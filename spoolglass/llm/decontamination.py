@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolglass.llm.common import cut_lineage, filter_texts, keyed_texts, small_batches
+from spoolglass.llm.common import cut_lineage, filter_texts, keyed_texts
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
@@ -169,7 +169,6 @@ def ordered_windows(rows: DataFrame, block: list[tuple[str | None, str]], window
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows that no window of the benchmark occurs in, with all their columns, without a shuffle of texts."""
     items = texts_of(benchmark, item_col, item_text_col)
-    small_batches(docs.sparkSession)
     n = n_blocks(items, block_bytes)
     for k in range(n):
         rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -193,7 +192,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     benchmark hits nothing; no documents give no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = keyed_texts(docs, id_col, text_col)
     items = texts_of(benchmark, item_col, item_text_col)
     none = F.array().cast("array<int>"), F.array().cast("array<string>")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoolglass.llm.common import small_batches
+from spoolglass.llm.common import pieces
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -249,7 +249,6 @@ def identify(docs: DataFrame, *, order: int = ORDER, id_col: str = "doc_id", tex
     without an id are held out.  Repeated rows each give a row; other columns
     are not read.  No rows give no rows.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"), held_out(F.col(id_col)).alias("held_out"))
     model = train(rows.filter(~F.col("held_out") & F.col("lang").isNotNull()).select("text", "lang"), order)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from spoolglass.llm.common import LOWER_AZ, Bloom, keyed_texts, small_batches
+from spoolglass.llm.common import LOWER_AZ, Bloom, keyed_texts
 
 LENGTH = 50
 GRAM = 8
@@ -204,7 +204,6 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
     in one document.  Spans of a document may touch or overlap.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed_texts(docs, id_col, text_col)
     twice = suffix_rows(rows, length, gram, None).groupBy("gram").count().filter("count > 1")

@@ -6,27 +6,33 @@ fingerprints are therefore dealt into shards by the bits of a group; every
 shard holds a BK-tree whose children are keyed by their integer Hamming
 distance to the parent, and a look-up follows only the edges within the radius.
 A shard over ``SHARD_LIMIT`` fingerprints is dealt again by the groups of the
-next dealing, which loses no link.  Shards reach their queries by the shuffle,
-not by a broadcast: all trees together grow with the data.
+next dealing, which loses no link.  The trees of shards that are over the limit
+even then are built in blocks of ``TREE_BLOCK`` fingerprints, and each block is
+broadcast to all tasks that hold queries of those shards.  The other shards
+reach their queries by the shuffle: all trees together grow with the data, and
+fingerprints of all documents may not go through the driver.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolglass.llm.common import LOWER_AZ, Bloom, by_text, cut_lineage, keyed_texts, small_batches
+from spoolglass.llm.common import LOWER_AZ, Bloom, as_batch, by_text, cut_lineage, keyed_texts, pieces, row_keys
 from spoolglass.llm.graph import components
 from spoolglass.llm.repeats import WordMemo, gram_hashes, word_hashes
 
 RADIUS = 3
 SEED = 42
 SHARD_LIMIT = 16_384
+#: Fingerprints in the trees of one broadcast, about 3 MB.
+TREE_BLOCK = 65_536
 
 #: Fingerprints of each text in the search for similar texts, and how often a word counts in them at most.
 KINDS, MAX_COUNT = 12, 2
@@ -38,6 +44,7 @@ PARTS = 8
 GROUPS = [[sum(1 << i for i in range(64) if i // 4**digit % 4 == g) for g in range(4)] for digit in (2, 0, 1)]
 
 PRINT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
+LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def signed(x: int) -> int:
@@ -98,24 +105,31 @@ class BKTree:
 
 def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     """Links that join all values within the radius of one another, one for each value that is joined on."""
-    if len(values) == 2:
-        return [(0, 1)] if (values[0] ^ values[1]).bit_count() <= radius else []
-    tree, parent, out = BKTree(), list(range(len(values))), []
+    tree, joined, out = BKTree(), Joined(), []
+    for i, value in enumerate(values):
+        out += [(i, j) for j in tree.near(value, radius) if joined.join(i, j)]
+        tree.add(value)
+    return out
+
+
+class Joined:
+    """Which nodes are connected by the links so far."""
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(i, i)) != i:
+            parent[i] = parent[up]
             i = parent[i]
         return i
 
-    for i, value in enumerate(values):
-        for j in tree.near(value, radius):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((i, j))
-        tree.add(value)
-    return out
+    def join(self, i: int, j: int) -> bool:
+        """Connect two nodes; whether they weren't before."""
+        a, b = self.root(i), self.root(j)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
@@ -150,8 +164,6 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[
 
 
 def _links(radius: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for group in sorted_groups(batches, "shard"):
@@ -159,10 +171,10 @@ def _links(radius: int):
             values = [p & 0xFFFFFFFFFFFFFFFF for p in group["print"].tolist()]
             out += [(nodes[i], nodes[j]) for i, j in forest(values, radius)]
             if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+                yield as_batch(out, LINK_SCHEMA)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+            yield as_batch(out, LINK_SCHEMA)
 
     return run
 
@@ -222,8 +234,6 @@ class Parities:
 
 def _open_pairs(radius: int, similarity: float):
     """Every pair of a shard within the radius that can be alike and isn't yet in one component."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "shard"):
             nodes, comps, prints = group["node"], group["comp"], group["print"]
@@ -241,7 +251,7 @@ def _open_pairs(radius: int, similarity: float):
                     if len(others):
                         others = sets.alike(i, others)
                     if len(others):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), nodes[i])), pa.array(nodes[others])], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), nodes[i])), pa.array(nodes[others])], schema=LINK_SCHEMA)
 
     return run
 
@@ -255,7 +265,50 @@ def dealt(rows: DataFrame, level: int) -> DataFrame:
     )
 
 
-def linked(prints: DataFrame, *, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT, carried: tuple[str, ...] = (), links=None) -> DataFrame:
+def tree_links(rows: DataFrame, radius: int, block: int) -> DataFrame:
+    """Links of the rows (node, print, shard) by broadcast trees, a block of about ``block`` fingerprints at a time.
+
+    Each task gives the links that join two components of what it has seen: one
+    for each of its nodes and of those in the block at most.
+    """
+    context, blocks, found = rows.sparkSession.sparkContext, -(-rows.count() // block), None
+
+    def looked_up(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trees, joined = shared.value, Joined()
+            for batch in batches:
+                out: list[tuple[int, int]] = []
+                for node, value, shard in zip(*(batch.column(c).to_pylist() for c in ("node", "print", "shard")), strict=True):
+                    if (held := trees.get(shard)) is not None:
+                        tree, nodes = held
+                        out += [(node, nodes[j]) for j in tree.near(value & 0xFFFFFFFFFFFFFFFF, radius) if joined.join(node, nodes[j])]
+                if out:
+                    yield as_batch(out, LINK_SCHEMA)
+
+        return run
+
+    for k in range(blocks):
+        part = rows.filter(F.pmod(F.xxhash64("shard", "node", F.lit(7)), F.lit(blocks)) == k).select("shard", "print", "node").toArrow()
+        trees: dict[int, tuple[BKTree, list[int]]] = {}
+        for shard, value, node in zip(*(part.column(c).to_pylist() for c in ("shard", "print", "node")), strict=True):
+            tree, nodes = trees.setdefault(shard, (BKTree(), []))
+            tree.add(value & 0xFFFFFFFFFFFFFFFF)
+            nodes.append(node)
+        links = cut_lineage(rows.mapInArrow(looked_up(context.broadcast(trees)), "a long, b long"))
+        found = links if found is None else found.unionByName(links)
+    return found
+
+
+def in_block_pairs(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """The rows of shards (shard, count) over the limit, dealt so that any two of a shard meet in one of less than twice the limit."""
+    joined = rows.join(sizes.select("shard", F.ceil(F.col("count") / limit).alias("blocks")), "shard")
+    own, other = F.pmod(F.xxhash64("node", "print"), "blocks"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = joined.withColumn("own", own).withColumn("other", other)
+    key = F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))
+    return pairs.withColumn("shard", key).select(rows.columns)
+
+
+def linked(prints: DataFrame, *, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT, tree_block: int = TREE_BLOCK, carried: tuple[str, ...] = (), links=None) -> DataFrame:
     """a, b: links that connect all nodes whose fingerprints are within the radius (at most 3) of one another.
 
     prints: node, print, and shard, which keeps fingerprints of different kinds
@@ -268,24 +321,26 @@ def linked(prints: DataFrame, *, radius: int = RADIUS, shard_limit: int = SHARD_
     spark = prints.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links_of = links or _links(radius)
-    rows, found = prints.select("node", "print", *carried, "shard"), None
+    rows, found = prints.select("node", "print", *carried, "shard"), []
+
+    def by_shuffle(part: DataFrame) -> DataFrame:
+        return part.repartition(n, "shard").sortWithinPartitions("shard", "print").mapInArrow(links_of, "a long, b long")
+
     for level in range(len(GROUPS)):
         rows = dealt(rows, level)
-        full = None
-        if level + 1 < len(GROUPS):
-            full = cut_lineage(rows.groupBy("shard").count().filter(F.col("count") > shard_limit).select("shard"))
-            if full.isEmpty():
-                full = None
-        now = rows if full is None else rows.join(full, "shard", "left_anti")
-        links = now.repartition(n, "shard").sortWithinPartitions("shard", "print").mapInArrow(links_of, "a long, b long")
-        found = links if found is None else found.unionByName(links)
-        if full is None:
+        full = cut_lineage(rows.groupBy("shard").count().filter(F.col("count") > shard_limit))
+        if full.isEmpty():
+            found.append(by_shuffle(rows))
             break
+        found.append(by_shuffle(rows.join(full, "shard", "left_anti")))
         rows = rows.join(full, "shard", "left_semi")
-    return found
+        if level == len(GROUPS) - 1:
+            rows = cut_lineage(rows)
+            found.append(tree_links(rows, radius, tree_block) if links is None else by_shuffle(in_block_pairs(rows, full, shard_limit)))
+    return reduce(DataFrame.unionByName, found)
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shard_limit: int = SHARD_LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shard_limit: int = SHARD_LIMIT, tree_block: int = TREE_BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links).
 
     One row for each row of ``docs``.  Null and wordless texts have fingerprint
@@ -294,16 +349,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = RADIUS, id
     with a null id are kept; their component is the smallest id reachable, null
     if there is none.  Other columns are not read.  No rows give no rows.
     """
-    small_batches(docs.sparkSession)
 
     def make():
         return lambda text: (int.from_bytes(fingerprint(text, words), signed=True),)
 
     marked = cut_lineage(keyed_texts(docs, id_col, text_col).mapInArrow(by_text(make, PRINT_SCHEMA), "doc_id long, print long"))
-    small_batches(docs.sparkSession, 10_000)
     nodes = cut_lineage(marked.groupBy("print").agg(F.min("doc_id").alias("first")))
     prints = nodes.select(F.col("print").alias("node"), "print", F.lit(0).cast("long").alias("shard"))
-    roots = components(linked(prints, radius=radius, shard_limit=shard_limit))
+    roots = components(linked(prints, radius=radius, shard_limit=shard_limit, tree_block=tree_block))
     of_root = roots.join(nodes, roots["node"] == nodes["print"]).select("root", "print", "first")
     least = of_root.groupBy("root").agg(F.min("first").alias("least"))
     joined = of_root.join(least, "root").select("print", "least")
@@ -367,20 +420,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b: ids) whose texts share at least ``similarity`` of their distinct shingles."""
     spark = docs.sparkSession
-    small_batches(spark)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = spark.sparkContext.broadcast(Bloom.of(ends, "id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, bits = WordMemo(), Bloom.opened(wanted.value)
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             rows = np.flatnonzero(Bloom.holds(bits, ids)).tolist()
             packed = [shingle_set(batch.column("text")[i].as_py(), words, memo).tobytes() for i in rows]
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "left"):
             left, right = (batch.column(c).to_pylist() for c in ("left", "right"))
             alike = [jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= similarity for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
@@ -391,9 +443,34 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: flo
     return joined.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """doc_id, component_id (the smallest id of its group) of the documents that are alike or equal to another.
 
+    Rows without an id, or that share one, are compared like all others (see
+    ``row_keys``); a group has a null component only if no row of it has an id.
+    Documents without a link give no row.  No rows give no rows.
+    """
+    keyed, key = row_keys(docs, id_col)
+    found = keyed_similar(keyed_texts(keyed, key, text_col), **settings)
+    if key == id_col:
+        return found
+    ids = keyed.select(F.col(key).alias("key"), F.col(id_col).alias("id"))
+    for column in ("doc_id", "component_id"):
+        found = found.join(ids, found[column] == ids["key"]).drop(column, "key").withColumnRenamed("id", column)
+    return found
+
+
+def first_of_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows, with all their columns, without those that are alike to one of a smaller id in their group."""
+    keyed, key = row_keys(docs, id_col)
+    found = keyed_similar(keyed_texts(keyed, key, text_col), **settings).filter("doc_id > component_id").select(F.col("doc_id").alias(key))
+    kept = keyed.join(found, key, "left_anti")
+    return kept.select(*[kept[c] for c in docs.columns])
+
+
+def keyed_similar(rows: DataFrame, *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``similar_documents`` of rows doc_id (unique) and text.
+
     Equal texts count once.  Texts with one of ``KINDS`` word fingerprints
     within the radius are candidates, found by BK-trees, and so are texts that
     share one of ``PARTS`` parts, which finds copies with a block added, cut or
@@ -402,12 +479,8 @@ def similar_documents(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity
     Links that connect the candidates are verified first; then every other
     candidate pair between two of the resulting components, so that no pair
     is left out for a link that proved wrong.
-    Documents without a link give no row.  Rows without an id take no part;
-    rows that share an id should be equal.  No rows give no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = keyed_texts(docs, id_col, text_col).filter("doc_id is not null")
+    spark = rows.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("prints", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64())), ("size", pa.int64()), ("parity", pa.binary())])
 
     def make():
@@ -422,7 +495,6 @@ def similar_documents(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity
         return work
 
     marked = cut_lineage(rows.mapInArrow(by_text(make, schema), "doc_id long, same binary, prints array<long>, parts array<long>, size long, parity binary"))
-    small_batches(spark, 10_000)
     of_text = F.min(F.struct("doc_id", "prints", "parts", "size", "parity")).alias("x")
     firsts = cut_lineage(marked.groupBy("same").agg(of_text).select("same", F.col("x.doc_id").alias("first"), "x.prints", "x.parts", "x.size", "x.parity"))
     copies = marked.join(firsts.select("same", "first"), "same").filter("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
@@ -439,7 +511,6 @@ def similar_documents(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity
     still = firsts.join(ends, "first").join(roots, "first", "left").select(F.col("first").alias("node"), F.coalesce("comp", "first").alias("comp"), "size", "parity", "prints", "parts", "by_words")
     still = cut_lineage(still)
     carried = ("comp", "size", "parity")
-    small_batches(spark, 10_000)
     by_words = still.filter("by_words").select("node", *carried, F.posexplode("prints").alias("shard", "print")).withColumn("shard", F.col("shard").cast("long"))
     missed = linked(by_words, carried=carried, links=_open_pairs(RADIUS, similarity))
     keys = still.select("node", "comp", F.posexplode("parts").alias("kind", "print")).select("node", "comp", "print", F.xxhash64("kind", "print").alias("shard"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolglass.llm.common import cut_lineage, fresh_path, small_batches
+from spoolglass.llm.common import cut_lineage, fresh_path
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -101,7 +101,6 @@ def write_archives(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, i
                 out.append(transaction(r["page_id"], r["url"], r["payload"], digest, nth, None if answer else (r["first_id"], r["first_url"], 0)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    small_batches(pages.sparkSession)
     ready.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", CAPTURES_PER_FILE).option("compression", "gzip").text(path)
 
 
@@ -189,7 +188,6 @@ def read_records(spark: SparkSession, path: str, *, keep_payload: bool = False)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    small_batches(spark, 1)
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, ddl)
 
 
@@ -229,7 +227,6 @@ def archive_round_trip(pages: DataFrame, *, min_revisit_bytes: int = 0) -> DataF
     path = fresh_path(spark, "warc")
     write_archives(pages, path, min_revisit_bytes=min_revisit_bytes)
     records = cut_lineage(read_records(spark, path))
-    small_batches(spark, 10_000)
     return assemble(records).select(
         F.try_element_at("metadata", F.lit(1))["page_id"].alias("page_id"),
         F.coalesce("main.payload_bytes", "revisited.payload_bytes").alias("payload_bytes"),

@@ -6,7 +6,7 @@ from conftest_llm import ODD, words
 
 from spoolglass.llm.graph import components
 from spoolglass.llm.repeats import WordMemo
-from spoolglass.llm.simhash import KINDS, BKTree, Parities, WordPrints, fingerprint, jaccard, near_duplicates, parity, part_prints, shingle_set, similar_documents
+from spoolglass.llm.simhash import KINDS, BKTree, Parities, WordPrints, fingerprint, first_of_similar, in_block_pairs, jaccard, near_duplicates, parity, part_prints, shingle_set, similar_documents
 
 
 def brute_print(text, size=3):
@@ -60,6 +60,8 @@ def test_components_match_brute_force(spark, table):
     assert sorted(map(tuple, near_duplicates(table(rows)).collect()), key=repr) == expected
     # Shards over the limit are dealt again by other bits: the result stays the same.
     assert sorted(map(tuple, near_duplicates(table(rows), shard_limit=3).collect()), key=repr) == expected
+    # Shards over the limit after the last dealing: trees are broadcast in blocks.
+    assert sorted(map(tuple, near_duplicates(table(rows), shard_limit=1, tree_block=20).collect()), key=repr) == expected
     assert near_duplicates(table([])).count() == 0
 
 
@@ -143,6 +145,34 @@ def test_copies_with_a_block_edited(spark, table):
     assert sum(found.get(a) == b for a, b in pairs) >= 0.99 * len(pairs)
 
 
+def test_a_further_document_removes_no_link(spark, table):
+    base = words(300, 31)
+    close = [*base[:150], "new", *base[150:]]
+    mixed = random.Random(1).sample(base, len(base))
+    two = [(2, " ".join(base)), (3, " ".join(close))]
+    for rows in (two, [(1, " ".join(mixed)), *two], [*two, (4, " ".join(mixed))]):
+        assert dict(map(tuple, similar_documents(table(rows)).collect())) == {2: 2, 3: 2}
+
+
+def test_rows_that_share_an_id_or_have_none(spark, table):
+    a, b, c = (" ".join(words(200, k)) for k in (1, 2, 3))
+    rows = [(5, a), (5, b), (None, a), (None, c), (None, c), (7, b), (8, "other " * 60)]
+    assert sorted(map(tuple, similar_documents(table(rows)).collect()), key=repr) == sorted([(5, 5), (5, 5), (None, 5), (None, None), (None, None), (7, 5)], key=repr)
+    frame = table(rows).selectExpr("*", "4 AS row_key")
+    left = first_of_similar(frame)
+    assert left.columns == frame.columns and sorted(r.text for r in left.collect()) == sorted([a, b, c, "other " * 60])
+
+
+def test_block_pairs_bring_any_two_together(spark):
+    rows = spark.range(50).selectExpr("id AS node", "id * 7 AS print", "if(id < 40, 1L, 2L) AS shard")
+    found = {}
+    for r in in_block_pairs(rows, rows.groupBy("shard").count(), 8).collect():
+        found.setdefault(r.shard, set()).add(r.node)
+    together = {(a, b) for g in found.values() for a in g for b in g}
+    assert together == {(a, b) for a in range(50) for b in range(50) if (a < 40) == (b < 40)}
+    assert max(map(len, found.values())) < 30
+
+
 def test_parities_refuse_no_alike_pair():
     r, sets = np.random.default_rng(4), [np.empty(0, np.uint32)]
     for n in (3, 60, 64, 70, 260, 1000):
