@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spoolglass.llm.chaining import cut_passages
-from spoolglass.llm.common import fresh_path, repeated_ids, table
+from spoolglass.llm.common import fresh_path, table
 from spoolglass.llm.decontamination import clean_documents
 from spoolglass.llm.piece_tokens import encode_decode
 from spoolglass.llm.quality import kept_documents
 from spoolglass.llm.queries import vocabulary
-from spoolglass.llm.simhash import similar_documents
+from spoolglass.llm.simhash import first_of_similar
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (0.8 of five-word shingles or more, chained) the document with the smallest id.
 
-    Of rows that share an id one stays.  Rows without an id can't be told
-    apart and all stay.
+    Rows that share an id, or have none, are compared by their texts like all others.
     """
-    found = similar_documents(docs)
-    kept = docs.join(found.filter("doc_id > component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    if repeated_ids(docs) is not None:
-        named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.filter("doc_id is null"))
-    return kept.select(docs.columns)
+    return first_of_similar(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
