@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolglass.llm.common import cut_lineage, fresh_path
+from spoolglass.llm.common import as_batch, cut_lineage, fresh_path, pieces
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-#: Captures in an archive file at most, so that a file fits one task's memory.
-CAPTURES_PER_FILE = 4_000
+#: Packed bytes after which an archive is closed: a file is little more than this, or one record.
+ARCHIVE_BYTES = 16 << 20
 FIELDS = ("record_id", "warc_type", "concurrent_to", "target_uri", "refers_to", "page_id", "payload_bytes", "payload_digest")
 SCHEMA = pa.schema([(n, pa.int64() if n in ("page_id", "payload_bytes") else pa.string()) for n in FIELDS])
 DDL = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in SCHEMA)
@@ -46,7 +46,7 @@ def record(kind: str, urn: str, fields: list[tuple[str, str]], block: str, conte
     return "\r\n".join([*lines, f"Content-Type: {content_type}", f"Content-Length: {len(block.encode())}"]) + END + block
 
 
-def transaction(page_id: int | None, url: str | None, payload: str, digest: str, nth: int, first: tuple | None) -> str:
+def transaction(page_id: int | None, url: str | None, payload: str, digest: str, nth: int, first: tuple | None) -> tuple[str, str, str]:
     """The three records of a page; ``first`` has page_id, url and number of the response that a revisit refers to."""
     urn = record_urn("response", page_id, url, digest, nth)
     target = [("WARC-Target-URI", header_value(url))] if url is not None else []
@@ -62,16 +62,19 @@ def transaction(page_id: int | None, url: str | None, payload: str, digest: str,
         main = record("revisit", urn, own, answer, "application/http;msgtype=response")
     facts = "" if page_id is None else f"page-id: {page_id}\r\n"
     meta = record("metadata", record_urn("metadata", page_id, url, digest, nth), [*target, ("WARC-Concurrent-To", urn)], facts, "application/warc-fields")
-    return END.join((request, main, meta))
+    return request, main, meta
 
 
 def base32_sha1(payload: str) -> str:
     return base64.b32encode(hashlib.sha1(payload.encode()).digest()).decode()
 
 
-def write_archives(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write one transaction for each row of ``pages`` to gzipped archives under ``path``.
+def write_archives(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """Write one transaction for each row of ``pages`` to archives under ``path``.
 
+    Each record is a gzip member of its own, so that a reader can start at any
+    of them; a file holds about ``ARCHIVE_BYTES`` and ends with a zero byte of
+    padding.  A task that is run again writes the same bytes.
     Of rows with equal payloads of at least ``min_revisit_bytes`` the one with
     the smallest id (rows without an id last, then by URL) is the response, the
     others are revisits.  Null html is an empty payload; a null URL gives
@@ -89,19 +92,26 @@ def write_archives(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, i
     ready = rows.repartition(n, "sha", "key").join(firsts, ["sha", "key"], "left").sortWithinPartitions("sha", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, nth = None, 0
-        for batch in batches:
-            out = []
+        last, nth, members, size = None, 0, [], 0
+        for batch in pieces(batches, "payload"):
             for r in batch.to_pylist():
                 here = (r["page_id"], r["url"], r["sha"])
                 nth = nth + 1 if here == last else 0
                 last = here
                 digest = base64.b32encode(bytes.fromhex(r["sha"])).decode()
                 answer = r["is_first"] is None or (r["is_first"] and nth == 0)
-                out.append(transaction(r["page_id"], r["url"], r["payload"], digest, nth, None if answer else (r["first_id"], r["first_url"], 0)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                for text in transaction(r["page_id"], r["url"], r["payload"], digest, nth, None if answer else (r["first_id"], r["first_url"], 0)):
+                    members.append(zlib.compress((text + END).encode(), wbits=31))
+                    size += len(members[-1])
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["archive"])
+                    members, size = [], 0
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["archive"])
 
-    ready.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", CAPTURES_PER_FILE).option("compression", "gzip").text(path)
+    # The text writer puts a string's bytes into a file as they are; a row is a file.
+    archives = ready.mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -142,18 +152,26 @@ def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         at += size
 
 
-def unzipped(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a file, of any number of gzip members or plain, in bounded pieces."""
-    if content[:2] != b"\x1f\x8b":
-        yield from (content[i : i + step] for i in range(0, len(content), step))
-        return
-    while content:
-        packed = zlib.decompressobj(31)
-        rest = content
-        while rest and not packed.eof:
-            yield packed.decompress(rest, step)
-            rest = packed.unconsumed_tail
-        content = packed.unused_data
+def unzipped(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a file, of any number of gzip members (zero bytes between and after them) or plain, in bounded pieces."""
+    plain, packed = content[:2] != b"\x1f\x8b", None
+    for i in range(0, len(content), step):
+        data = content[i : i + step]
+        if plain:
+            yield data
+            continue
+        while data:
+            if packed is None:
+                data = data.lstrip(b"\0")
+                if not data:
+                    break
+                packed = zlib.decompressobj(31)
+            yield packed.decompress(data, 1 << 20)
+            data = packed.unused_data if packed.eof else packed.unconsumed_tail
+            if packed.eof:
+                packed = None
+    if packed is not None:
+        raise ValueError("an archive ends within a member")
 
 
 def read_records(spark: SparkSession, path: str, *, keep_payload: bool = False) -> DataFrame:
@@ -183,10 +201,10 @@ def read_records(spark: SparkSession, path: str, *, keep_payload: bool = False)
                     rows.append(row(headers, block))
                     held += len(block) * keep_payload + 300
                     if held > 1 << 24:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        yield as_batch(rows, schema)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield as_batch(rows, schema)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, ddl)
 

@@ -2,6 +2,9 @@ import base64
 import gzip
 import hashlib
 import io
+import random
+import string
+import zlib
 
 import pytest
 
@@ -73,9 +76,30 @@ def test_assembly_of_incomplete_transactions(spark):
 
 def test_parser_reads_any_members_and_pieces():
     one = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
-    for content in (one * 3, gzip.compress(one * 3), gzip.compress(one) * 3):
+    for content in (one * 3, gzip.compress(one * 3), gzip.compress(one) * 3, (gzip.compress(one) + b"\0\0") * 3):
         for step in (1, 7, 1 << 20):
-            pieces = unzipped(content) if step > 7 else iter(lambda s=io.BytesIO(b"".join(unzipped(content))), k=step: s.read(k), b"")
+            pieces = unzipped(content, 5) if step > 7 else iter(lambda s=io.BytesIO(b"".join(unzipped(content))), k=step: s.read(k), b"")
             assert [b for _, b in parse(pieces)] == [b"ab\r\nc"] * 3
     with pytest.raises(ValueError):
         list(parse(iter([one[:-6]])))
+    with pytest.raises(ValueError):
+        list(parse(unzipped(gzip.compress(one)[:-3])))
+
+
+def test_archives_are_bounded_and_a_member_holds_a_record(spark):
+    path = fresh_path(spark, "test-bounded")
+    r = random.Random(3)
+    pages = [(i, f"http://h/{i}", "".join(r.choices(string.printable, k=5000 if i else 3_000_000))) for i in range(60)]
+    write_archives(spark.createDataFrame(pages, PAGES), path, archive_bytes=50_000)
+    files = [bytes(x.content) for x in spark.read.format("binaryFile").load(path).collect() if x.length]
+    assert len(files) > 5 and sorted(map(len, files))[-2] < 60_000
+    n = 0
+    for content in files:
+        assert gzip.decompress(content).count(b"WARC/1.1\r\n") >= 3
+        while content.strip(b"\0"):
+            packed = zlib.decompressobj(31)
+            raw = packed.decompress(content)
+            assert raw.startswith(b"WARC/1.1\r\n") and len(list(parse(iter([raw])))) == 1
+            content, n = packed.unused_data, n + 1
+    assert n == 180
+    assert {x.page_id: x.payload_bytes for x in archive_round_trip(spark.createDataFrame(pages, PAGES)).collect()} == {i: len(h.encode()) for i, _, h in pages}
