@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolglass.llm.common import cut_lineage, filter_texts, keyed_texts
+from spoolglass.llm.common import as_batch, cut_lineage, filter_texts, free_name, keyed_texts, pieces
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
-#: Benchmark text that is broadcast at once; more is joined in blocks of about this size, one after the other.
+#: Benchmark text that is broadcast at once, up to twice this; more is joined in blocks, one after the other.
 BLOCK_BYTES = 4 << 20
 
 #: [0-9a-z] and bytes of other scripts are word bytes, A-Z are lower-cased, all else separates.
@@ -48,6 +48,8 @@ class Windows:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
                 self.items[tuple(ids[i : i + window])] |= set() if item is None else {item}
+        if (len(self.number) + 1) ** SHINGLE_WORDS >= 1 << 63:
+            raise ValueError("a block has too many different words for the shingles' numbers")
         self.base = np.int64(len(self.number) + 1)
         self.sizes = sorted({min(SHINGLE_WORDS, len(w)) for w in self.items})
         self.prefixes: dict[int, dict[int, list[tuple[int, tuple[int, ...]]]]] = {}
@@ -128,7 +130,7 @@ def rarity(docs: DataFrame, shared) -> dict[tuple[int, int], int]:
         windows = shared.value
         filters = {s: filtered(c) for s, c in windows.all_shingles().items()}
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch.column("text").to_pylist():
                 ids = windows.numbers(text)
                 for size, f in filters.items():
@@ -143,19 +145,41 @@ def rarity(docs: DataFrame, shared) -> dict[tuple[int, int], int]:
     return {(r["size"], r["code"]): r["n"] for r in counted.toArrow().to_pylist()}
 
 
-def texts_of(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
-    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+def blocks_of(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """item, text, block of the distinct items, and the number of blocks; no block is over twice ``block_bytes``.
 
-
-def n_blocks(items: DataFrame, block_bytes: int) -> int:
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return -(-total // block_bytes) or 1
-
-
-def block_of(items: DataFrame, k: int, n: int) -> list[tuple[str | None, str]]:
-    """The k-th of n blocks of the items."""
-    rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toArrow().to_pylist()
-    return [(r["item"], r["text"]) for r in rows]
+    Items of over a quarter of that are cut into pieces that share all but one
+    of a window's words, so that each window lies in a piece.
+    """
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).distinct()
+    size, most = F.octet_length("text"), max(1, block_bytes // 4)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words, first = words_of(text), 0
+                ends = np.cumsum([len(w) + 1 for w in words] or [0])
+                while first == 0 or first + window <= len(words):
+                    last = max(first + window, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most)))
+                    out.append((item, b" ".join(words[first:last]).decode()))
+                    first = last - window + 1
+            yield as_batch(out, pa.schema([("item", pa.string()), ("text", pa.string())]))
+
+    total = items.agg(F.sum(size).alias("n"), F.max(size).alias("most")).first()
+    if (total["most"] or 0) > most:
+        items = cut_lineage(items.filter(size <= most).unionByName(items.filter(size > most).mapInArrow(cut, "item string, text string")).distinct())
+        total = items.agg(F.sum(size).alias("n")).first()
+    n = -(-(total["n"] or 0) // block_bytes) or 1
+    while True:
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+        if n == 1 or dealt.groupBy("block").agg(F.sum(size).alias("n")).agg(F.max("n")).first()[0] <= max(2 * block_bytes, 8 * most):
+            return dealt, n
+        n += -(-n // 2)
+
+
+def block_of(items: DataFrame, k: int) -> list[tuple[str | None, str]]:
+    return [(r["item"], r["text"]) for r in items.filter(F.col("block") == k).toArrow().to_pylist()]
 
 
 def ordered_windows(rows: DataFrame, block: list[tuple[str | None, str]], window: int):
@@ -166,20 +190,50 @@ def ordered_windows(rows: DataFrame, block: list[tuple[str | None, str]], window
     return context.broadcast(windows)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows that no window of the benchmark occurs in, with all their columns, without a shuffle of texts."""
-    items = texts_of(benchmark, item_col, item_text_col)
-    n = n_blocks(items, block_bytes)
+HIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+
+
+def block_hits(rows: DataFrame, items: DataFrame, n: int, window: int) -> DataFrame:
+    """doc_id, digest (of the text), hit, items of the rows that each block's windows occur in, a row for each block.
+
+    Only these are kept between the passes of the blocks; texts are read, not written.
+    """
+    slim, found = rows.select("doc_id", "text", F.md5("text").alias("digest")), None
     for k in range(n):
-        rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        shared = ordered_windows(rows, block_of(items, k, n), window)
+        shared = ordered_windows(rows, block_of(items, k), window)
 
-        def make(shared=shared):
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            windows = shared.value
+            for batch in pieces(batches):
+                out = []
+                for doc, text, digest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "digest")), strict=True):
+                    hit, found = windows.hits(windows.numbers(text))
+                    if hit.any():
+                        out.append((doc, digest, np.flatnonzero(hit).tolist(), sorted(found)))
+                if out:
+                    yield as_batch(out, HIT_SCHEMA)
+
+        hits = cut_lineage(slim.mapInArrow(run, "doc_id long, digest string, hit array<int>, items array<string>").distinct())
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows that no window of the benchmark occurs in, with all their columns."""
+    items, n = blocks_of(benchmark, item_col, item_text_col, window, block_bytes)
+    rows = keyed_texts(docs, id_col, text_col)
+    if n == 1:  # decided where the row is
+        shared = ordered_windows(rows, block_of(items, 0), window)
+
+        def make():
             windows = shared.value
             return lambda text: not windows.hits(windows.numbers(text))[0].any()
 
-        docs = filter_texts(docs, make, text_col)
-    return docs
+        return filter_texts(docs, make, text_col)
+    own, other = free_name(docs, "own_id"), free_name(docs, "own_digest")
+    hits = block_hits(rows, items, n, window).select(F.col("doc_id").alias(own), F.col("digest").alias(other)).distinct()
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return docs.join(hits, docs[id_col].eqNullSafe(hits[own]) & (F.md5(text) == hits[other]), "left_anti")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -191,36 +245,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     repeated rows each give a row; other columns are not read.  An empty
     benchmark hits nothing; no documents give no rows.
     """
-    spark = docs.sparkSession
     rows = keyed_texts(docs, id_col, text_col)
-    items = texts_of(benchmark, item_col, item_text_col)
-    none = F.array().cast("array<int>"), F.array().cast("array<string>")
-    state = rows.select("doc_id", "text", none[0].alias("hit"), none[1].alias("items"))
-    state_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    n = n_blocks(items, block_bytes)
-    for k in range(n):
-        shared, last = ordered_windows(rows, block_of(items, k, n), window), k == n - 1
+    items, n = blocks_of(benchmark, item_col, item_text_col, window, block_bytes)
+
+    def row(doc: int | None, n_words: int, n_hit: int, found: list[str]) -> tuple:
+        return doc, n_words, n_hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), n_hit > 0
+
+    if n == 1:
+        shared = ordered_windows(rows, block_of(items, 0), window)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = shared.value
-            for batch in batches:
+            for batch in pieces(batches):
                 out = []
-                columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "hit", "items"))
-                for doc, text, before, items in zip(*columns, strict=True):
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     ids = windows.numbers(text)
                     hit, found = windows.hits(ids)
-                    hit[before] = True
-                    found = sorted(found | set(items))
-                    if last:
-                        n = int(hit.sum())
-                        out.append((doc, len(ids), n, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), n > 0))
-                    else:
-                        out.append((doc, text, np.flatnonzero(hit).tolist(), found))
-                if out:
-                    schema = SCHEMA if last else state_schema
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-        state = state.mapInArrow(run, DDL if last else "doc_id long, text string, hit array<int>, items array<string>")
-        if not last:
-            state = cut_lineage(state)
-    return state
+                    out.append(row(doc, len(ids), int(hit.sum()), sorted(found)))
+                yield as_batch(out, SCHEMA)
+
+        return rows.mapInArrow(run, DDL)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sizes = [len(words_of(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), batch.column("digest")], names=["doc_id", "n_words", "digest"])
+
+    slim = rows.select("doc_id", "text", F.md5("text").alias("digest")).mapInArrow(counted, "doc_id long, n_words long, digest string")
+    merged = block_hits(rows, items, n, window).groupBy(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"))
+    merged = merged.agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = slim.join(merged, slim["doc_id"].eqNullSafe(merged["own_id"]) & (slim["digest"] == merged["own_digest"]), "left")
+    found = F.coalesce("items", F.array().cast("array<string>"))
+    return joined.select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(found).cast("long").alias("n_items"),
+        F.sha2(F.array_join(found, ",").cast("binary"), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+    )

@@ -5,7 +5,7 @@ import re
 import pytest
 from conftest_llm import ODD, words
 
-from spoolglass.llm.decontamination import contamination
+from spoolglass.llm.decontamination import clean_documents, contamination
 
 
 def tokens(text):
@@ -13,17 +13,19 @@ def tokens(text):
 
 
 def brute(docs, items):
-    out = []
+    out, windows = [], {}
+    for item, passage in items:
+        p = tokens(passage)
+        n = min(10, len(p))
+        for i in range(len(p) - n + 1 if n else 0):
+            windows.setdefault(tuple(p[i : i + n]), set()).update(() if item is None else (str(item),))
     for doc, text in docs:
         t, hit, found = tokens(text), set(), set()
-        for item, passage in items:
-            p = tokens(passage)
-            n = min(10, len(p))
-            for w in {tuple(p[i : i + n]) for i in range(len(p) - n + 1)} if n else ():
-                for i in range(len(t) - n + 1):
-                    if tuple(t[i : i + n]) == w:
-                        hit |= set(range(i, i + n))
-                        found |= set() if item is None else {str(item)}
+        for n in range(1, 11):
+            for i in range(len(t) - n + 1):
+                if (w := tuple(t[i : i + n])) in windows:
+                    hit |= set(range(i, i + n))
+                    found |= windows[w]
         out.append((doc, len(t), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
@@ -31,8 +33,10 @@ def brute(docs, items):
 def cases():
     r = random.Random(3)
     items = [(i, " ".join(words(r.choice((3, 9, 10, 11, 30)), 50 + i, 400)) + ".") for i in range(40)]
+    items.append((80, " ".join(words(2500, 12, 400))))  # longer than a block, where blocks are small
+    docs_of_long = [(400 + k, " ".join(items[-1][1].split()[a : a + 25])) for k, a in enumerate(range(0, 2480, 61))]
     items += [(90, None), (91, " !"), (None, "no id but " + " ".join(words(12, 9))), (92, items[0][1]), (92, items[5][1]), (93, "one"), (94, "two words")]
-    docs = list(ODD[:7])
+    docs = list(ODD)
     for k in range(60):
         t = words(80, 1000 + k, 400)
         for _ in range(r.randrange(3)):
@@ -41,6 +45,7 @@ def cases():
             at = r.randrange(len(t))
             t[at:at] = p[a : a + r.choice((9, 10, 12, 30))]
         docs.append((100 + k, ", ".join(t)))
+    docs += docs_of_long
     docs += [(300, "one"), (301, "two. WORDS one"), (302, "words two")]
     return docs, items
 
@@ -50,7 +55,12 @@ def test_hits_match_brute_force(spark, table, block_bytes):
     docs, items = cases()
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS item")
     found = contamination(table(docs), bench, block_bytes=block_bytes)
-    assert sorted(map(tuple, found.collect()), key=repr) == brute(docs, items)
+    expected = brute(docs, items)
+    assert sorted(map(tuple, found.collect()), key=repr) == expected
+    frame = table(docs).selectExpr("*", "1 AS own_id", "2 AS digest")
+    left = clean_documents(frame, bench, block_bytes=block_bytes)
+    assert left.columns == frame.columns
+    assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted((r[0] for r in expected if not r[5]), key=repr)
 
 
 def test_empty_tables(spark, table):
