@@ -7,6 +7,13 @@ their k-gram and the words that follow; neighbours with more words in common
 stand closer, so one comparison with the neighbour above tells how far the
 match reaches to the right, for the whole run of suffixes that share it.
 Within such a run the matches are extended to the left by the words before.
+The suffixes of a k-gram that is too common for one sorted run are compared
+window by window: each window of ``length`` words through them is a key of its
+own, counted where it is made and then joined, so that no task gets them all.
+
+Words are compared by 32-bit hashes, windows of common k-grams by 128-bit ones:
+two different windows of ``length`` words pass as equal if all the words they
+differ in collide, so with 2**-32 at most for each pair that differs in one.
 """
 
 from __future__ import annotations
@@ -17,13 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from spoolglass.llm.common import LOWER_AZ, Bloom, keyed_texts
+from spoolglass.llm.common import LOWER_AZ, Bloom, cut_lineage, keyed_texts, pieces
 
 LENGTH = 50
 GRAM = 8
 #: Contexts that a task remembers, to send one of equal ones to the sort.
 SEEN_CONTEXTS = 200_000
+#: Suffixes of a k-gram that are sorted together at most.
+HOT_SUFFIXES = 16_384
 
 SUFFIX_SCHEMA = pa.schema([("gram", pa.int64()), ("left_words", pa.binary()), ("right_words", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32()), ("last", pa.int32())])
 SUFFIX_DDL = "gram long, left_words binary, right_words binary, doc_id long, at int, last int"
@@ -86,7 +96,7 @@ def minimisers(grams: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray,
     return chosen[first], first, last
 
 
-def suffix_rows(docs: DataFrame, length: int, gram: int, repeated: Broadcast | None) -> DataFrame:
+def suffix_rows(docs: DataFrame, length: int, gram: int, repeated: Broadcast | None, hot: Broadcast | None = None) -> DataFrame:
     """The k-gram of each kept suffix, or, of those in the filter ``repeated``, the suffix with the words around it.
 
     The context reaches from the first to the last window that has its minimum
@@ -94,7 +104,8 @@ def suffix_rows(docs: DataFrame, length: int, gram: int, repeated: Broadcast | N
     Of suffixes with the same context in a task one goes to the sort; all of
     them are repeated, and the others go on as finished spans (no words, from
     ``at`` to ``last``) under keys of their own, so that the copies of a common
-    passage don't meet in one task.
+    passage don't meet in one task.  A suffix whose k-gram is in the filter
+    ``hot`` gives its windows instead: digest as left_words, no right_words.
     """
     window = length - gram + 1
 
@@ -103,8 +114,9 @@ def suffix_rows(docs: DataFrame, length: int, gram: int, repeated: Broadcast | N
 
         memo = WordMemo()
         bits = repeated and Bloom.opened(repeated.value)
+        hot_bits = hot and Bloom.opened(hot.value)
         seen: dict[bytes, tuple] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[tuple] = []
             found: list[np.ndarray] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -119,6 +131,10 @@ def suffix_rows(docs: DataFrame, length: int, gram: int, repeated: Broadcast | N
                 if not len(kept):
                     continue
                 packed = words.astype(">u4").tobytes()
+                if hot_bits is not None and len(common := kept[Bloom.holds(hot_bits, keys[kept])]):
+                    for a, b in zip(first[common].tolist(), last[common].tolist(), strict=True):
+                        rows += [(0, xxh3_128_digest(packed[4 * i : 4 * (i + length)]), None, doc, i, i + length) for i in range(a, b + 1)]
+                    kept = np.setdiff1d(kept, common)
                 for k, m, a, b in zip(*(x[kept].tolist() for x in (keys, at, first, last)), strict=True):
                     context = xxh3_128_digest(packed[4 * a : 4 * (b + length)])
                     before = seen.get(context)
@@ -197,7 +213,7 @@ def spans_of(row: list, length: int) -> list[tuple[int | None, int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot_suffixes: int = HOT_SUFFIXES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, first, last: spans of words that lie in a passage of ``length`` words found twice or more.
 
     Words are split at ASCII white space, A-Z lower-cased; both places may be
@@ -206,8 +222,18 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed_texts(docs, id_col, text_col)
-    twice = suffix_rows(rows, length, gram, None).groupBy("gram").count().filter("count > 1")
-    kept = suffix_rows(rows, length, gram, spark.sparkContext.broadcast(Bloom.of(twice, "gram")))
+    counts = cut_lineage(suffix_rows(rows, length, gram, None).groupBy("gram").count().filter("count > 1"))
+    too_common = counts.filter(F.col("count") > hot_suffixes)
+    hot = None if too_common.isEmpty() else spark.sparkContext.broadcast(Bloom.of(too_common, "gram"))
+    kept = suffix_rows(rows, length, gram, spark.sparkContext.broadcast(Bloom.of(counts, "gram")), hot)
+    windows = None
+    if hot is not None:
+        kept = cut_lineage(kept)
+        is_window = F.col("right_words").isNull() & F.col("left_words").isNotNull()
+        each = kept.filter(is_window).select(F.col("left_words").alias("digest"), "doc_id", F.col("at").alias("first"), "last")
+        kept = kept.filter(~is_window)
+        again = cut_lineage(each.groupBy("digest").count().filter("count > 1").select("digest"))
+        windows = each.join(again.hint("shuffle_merge"), "digest").select("doc_id", "first", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, Run(length), []
@@ -228,11 +254,12 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SPAN_SCHEMA, strict=True)], schema=SPAN_SCHEMA)
 
-    return kept.repartition(n, "gram").sortWithinPartitions("gram", "right_words").mapInArrow(run, SPAN_DDL)
+    found = kept.repartition(n, "gram").sortWithinPartitions("gram", "right_words").mapInArrow(run, SPAN_DDL)
+    return found if windows is None else found.unionByName(windows)
 
 
-def repeated_passages(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_repeated, spans: each document with passages of ``length`` words or more that repeat, exactly.
+def repeated_passages(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot_suffixes: int = HOT_SUFFIXES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_repeated, spans: each document with passages of ``length`` words or more that repeat, word for word.
 
     spans are the disjoint maximal runs of repeated words, as numbers of the
     first word and of the word after the last; n_repeated is their words.
@@ -240,7 +267,7 @@ def repeated_passages(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM
     none.  Rows with the same id, or without one, are reported together.
     Other columns are not read.  No rows give no rows.
     """
-    spans = repeated_spans(docs, length=length, gram=gram, id_col=id_col, text_col=text_col)
+    spans = repeated_spans(docs, length=length, gram=gram, hot_suffixes=hot_suffixes, id_col=id_col, text_col=text_col)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
