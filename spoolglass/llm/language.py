@@ -5,8 +5,9 @@ never crosses a word.  One pass counts the highest-order n-grams of every
 labelled text by language; lower orders use continuation counts, which follow
 from the distinct higher-order n-grams.  The interpolated probabilities of all
 languages lie in sorted hash arrays, one for each order.  A text gets the
-language of least cross-entropy per character; a cross-entropy beyond what the
-language's own n-grams lead one to expect for so many characters is rejected.
+language of least cross-entropy per character.  Rejection is calibrated on
+training documents that the model doesn't count: a cross-entropy beyond that of
+all but ``REJECT_SHARE`` of a language's own texts of the length is rejected.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoolglass.llm.common import pieces
+from spoolglass.llm.common import as_batch, cut_lineage, pieces
 
 ORDER = 4
 DISCOUNT = 0.75
 #: How sharply differences of cross-entropy turn into a score.
 SHARPNESS = 12.0
-#: Rejection: standard errors and nats above a language's expected cross-entropy.
-REJECT_ERRORS, REJECT_MARGIN = 8.0, 0.6
+#: Share of a language's own texts that may be rejected; one training document in CALIBRATION_SHARE sets the limits.
+REJECT_SHARE, CALIBRATION_SHARE = 0.005, 16
+#: Characters after which a longer text is not expected to lie closer to its language's mean, and nats added to each limit.
+STEADY_CHARS, REJECT_MARGIN = 400, 0.1
+#: Texts that a language needs for limits of its own; with fewer it has the widest of the others', or this many nats.
+CALIBRATION_TEXTS, REJECT_DEFAULT = 20, 1.0
 OPEN, CLOSE = "\x02", "\x03"
 UNKNOWN = "und"
 MEMO_WORDS = 200_000
@@ -71,7 +76,7 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], schema=GRAM_SCHEMA)
             grams.clear()
 
-        for batch in batches:
+        for batch in pieces(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
             if sum(map(len, words.values())) > FLUSH_WORDS:
@@ -149,17 +154,20 @@ class Model:
             lower = np.exp(np.where(there[:, None], low.logp[at], self.floor))
             p = np.maximum(own - DISCOUNT, 0) / np.maximum(total[crow], 1) + backoff[crow] * lower
             self.levels.append(Level(keys, np.log(p), contexts, np.log(backoff)))
-        self.mean, self.deviation = np.zeros(size), np.ones(size)
+        # Until it is calibrated: the mean over a language's own n-grams, and a wide limit.
+        self.mean, self.reach = np.zeros(size), np.full(size, REJECT_DEFAULT * math.sqrt(STEADY_CHARS))
         if len(codes):
             at, _ = lookup(self.levels[-1].keys, hashes(codes))
             for i in range(size):
                 if (own := lang == i).any():
-                    x, w = -self.levels[-1].logp[at[own], i], n[own]
-                    self.mean[i] = np.average(x, weights=w)
-                    self.deviation[i] = math.sqrt(np.average((x - self.mean[i]) ** 2, weights=w))
+                    self.mean[i] = np.average(-self.levels[-1].logp[at[own], i], weights=n[own])
         for level in self.levels:
             level.logp, level.backoff = level.logp.astype(np.float32), level.backoff.astype(np.float32)
 
+    def limit(self, lang: int, chars: int) -> float:
+        """The greatest cross-entropy that is accepted of a text of so many characters."""
+        return float(self.mean[lang] + self.reach[lang] / math.sqrt(min(chars, STEADY_CHARS)) + REJECT_MARGIN)
+
     def logp(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of each row's last character in each language."""
         k = codes.shape[1]
@@ -211,8 +219,7 @@ class Identifier:
             entropy = -np.array([known[w] for w in words]).sum(axis=0) / n
             best = int(entropy.argmin())
             weight = np.exp(-SHARPNESS * (entropy - entropy[best]))
-            limit = model.mean[best] + REJECT_ERRORS * model.deviation[best] / math.sqrt(n) + REJECT_MARGIN
-            out.append((model.langs[best], float(1 / weight.sum()), bool(entropy[best] <= limit), float(entropy[best])))
+            out.append((model.langs[best], float(1 / weight.sum()), bool(entropy[best] <= model.limit(best, n)), float(entropy[best])))
         return out
 
     def known(self, words: list[str]) -> dict[str, tuple]:
@@ -240,9 +247,38 @@ def train(labelled: DataFrame, order: int = ORDER) -> Model:
     return Model(langs, np.array([number[x] for x in lang], np.int64), found.column("gram").to_pylist(), found.column("n").to_numpy(), order)
 
 
+def calibrated(model: Model, rows: DataFrame) -> Model:
+    """The model with limits from rows (text, lang) that it hasn't counted: those it gives their own language."""
+    if not model.langs:
+        return model
+    shared, number = rows.sparkSession.sparkContext.broadcast(model), {x: i for i, x in enumerate(model.langs)}
+    schema = pa.schema([("lang", pa.int32()), ("entropy", pa.float64()), ("root", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identifier = Identifier(shared.value)
+        for batch in pieces(batches):
+            texts, out = batch.column("text").to_pylist(), []
+            for text, lang, (found, _, _, entropy) in zip(texts, batch.column("lang").to_pylist(), identifier.texts(texts), strict=True):
+                if found == lang:
+                    out.append((number[lang], entropy, math.sqrt(min(STEADY_CHARS, sum(len(w) + 1 for w in LETTERS.findall(text.lower()))))))
+            yield as_batch(out, schema)
+
+    scored = cut_lineage(rows.select("text", "lang").mapInArrow(run, "lang int, entropy double, root double"))
+    means = scored.groupBy("lang").agg(F.count("*").alias("n"), F.avg("entropy").alias("mean")).filter(F.col("n") >= CALIBRATION_TEXTS)
+    far = (F.col("entropy") - F.col("mean")) * F.col("root")
+    limits = scored.join(F.broadcast(means), "lang").groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx(far, 1 - REJECT_SHARE, 10_000).alias("reach")).collect()
+    if limits:
+        model.reach[:] = max(r["reach"] for r in limits)
+        for r in limits:
+            model.mean[r["lang"]], model.reach[r["lang"]] = r["mean"], max(0.0, r["reach"])
+    return model
+
+
 def identify(docs: DataFrame, *, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Train on the labelled rows outside the held-out fold, predict all rows.
 
+    Of the rows to train on one in ``CALIBRATION_SHARE``, by a hash of its id,
+    is not counted but sets the limits of rejection.
     Returns doc_id, held_out, lang_pred, score (0 to 1), accepted,
     cross_entropy (nats a character).  A null text, or one without a letter,
     is ``und`` with score 0, as is every text when no row is labelled.  Rows
@@ -250,15 +286,16 @@ def identify(docs: DataFrame, *, order: int = ORDER, id_col: str = "doc_id", tex
     are not read.  No rows give no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"), held_out(F.col(id_col)).alias("held_out"))
-    model = train(rows.filter(~F.col("held_out") & F.col("lang").isNotNull()).select("text", "lang"), order)
+    labelled = rows.filter(~F.col("held_out") & F.col("lang").isNotNull())
+    sets_limits = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 4) % CALIBRATION_SHARE == 0
+    model = calibrated(train(labelled.filter(~sets_limits).select("text", "lang"), order), labelled.filter(sets_limits))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(shared.value)
-        for batch in batches:
-            if batch.num_rows:
-                found = zip(*identifier.texts(batch.column("text").to_pylist()), strict=True)
-                arrays = [pa.array(c, f.type) for c, f in zip(found, list(SCHEMA)[2:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays], names=SCHEMA.names)
+        for batch in pieces(batches):
+            found = zip(*identifier.texts(batch.column("text").to_pylist()), strict=True)
+            arrays = [pa.array(c, f.type) for c, f in zip(found, list(SCHEMA)[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays], names=SCHEMA.names)
 
     return rows.select("doc_id", "text", "held_out").mapInArrow(run, DDL)

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from conftest_llm import ODD
 
-from spoolglass.llm.language import CLOSE, DISCOUNT, OPEN, Model, gram_counts, grams_of, hashes, identify, train
+from spoolglass.llm.language import CLOSE, DISCOUNT, OPEN, STEADY_CHARS, Identifier, Model, calibrated, gram_counts, grams_of, hashes, identify, train
 
 
 def test_model_matches_the_definition():
@@ -62,6 +62,7 @@ def test_held_out_accuracy(spark, table):
     assert len(held) > 50
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.97
     assert np.mean([r.accepted for r in held]) > 0.97
+    assert {r.accepted for r in rows if r.lang_pred == "und"} == {False}
     by = {r.doc_id: r for r in rows}
     assert [by[i].lang_pred for i in (5001, 5002, 5003, 6000)] == ["und"] * 4
     assert by[6001].lang_pred in ("aa", "bb", "cc") and not by[6001].accepted
@@ -82,3 +83,31 @@ def test_model_holds_every_gram(spark):
     assert len(model.levels[-1].keys) == len(set().union(*expected.values()))
     found = {lang: Counter({r.gram: r.n for r in gram_counts(spark.createDataFrame([(t, x) for t, x in rows if x == lang], "text string, lang string")).collect()}) for lang in expected}
     assert found == expected
+
+
+def test_limits_come_from_rows_that_are_not_counted(spark):
+    docs, lang = corpus(900)
+    rows = [(t, lang[i]) for i, t in docs]
+    frame = lambda part: spark.createDataFrame(part, "text string, lang string")
+    model = calibrated(train(frame(rows[:400])), frame(rows[400:700]))
+    for i, name in enumerate(model.langs):
+        own = [t for t, x in rows[400:700] if x == name]
+        found = [r for r in Identifier(model).texts(own) if r[0] == name]
+        assert np.isclose(model.mean[i], np.mean([r[3] for r in found]))
+        sizes = [min(STEADY_CHARS, sum(len(w) + 1 for w in t.split())) for t in own]
+        far = sorted((r[3] - model.mean[i]) * n**0.5 for r, n in zip(found, sizes, strict=True))
+        assert far[-3] <= model.reach[i] <= far[-1] + 1e-9
+    rest = Identifier(model).texts([t for t, _ in rows[700:]])
+    assert np.mean([r[2] for r in rest]) >= 0.98  # other texts of the languages
+    r = random.Random(4)
+    strange = [" ".join("".join(r.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(20)) for _ in range(50)]
+    assert not any(x[2] for x in Identifier(model).texts(strange))
+
+
+def test_counts_of_all_languages_together(spark):
+    docs, lang = corpus(300)
+    expected = {}
+    for i, t in docs:
+        grams_of(Counter(t.split()), 4, expected.setdefault(lang[i], Counter()))
+    rows = spark.createDataFrame([(t, lang[i]) for i, t in docs], "text string, lang string").repartition(7)
+    assert {(r.lang, r.gram): r.n for r in gram_counts(rows).collect()} == {(x, g): n for x, c in expected.items() for g, n in c.items()}
