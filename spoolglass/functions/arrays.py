@@ -20,6 +20,13 @@ def spread(values: Column, limit: Column | int) -> Column:
     )
 
 
+def spread_places(n: int, limit: int) -> list[int]:
+    """Places that ``spread`` takes of n values, for use on a worker."""
+    if limit <= 0 or n <= limit:
+        return list(range(n if limit > 0 else 0))
+    return [n // 2] if limit == 1 else sorted({round(i * (n - 1) / (limit - 1)) for i in range(limit)})
+
+
 def min_gap(values: Column, gap: float) -> Column:
     """Distinct values in order, each at least ``gap`` after the last one kept (not the last one seen)."""
     start = F.array().cast("array<double>")

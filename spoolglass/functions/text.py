@@ -127,6 +127,12 @@ def lint_reasons(caption: Column, style: Column | None = None) -> Column:
     return F.when(caption.isNull(), F.array(F.lit("caption must be a string"))).otherwise(bound(stripped(caption), found))
 
 
+def lint_value(value: Column, style: Column | None = None) -> Column:
+    """``lint_reasons`` of a VARIANT: a number, boolean, list, object or null is not a string."""
+    text = F.try_variant_get(value, "$", "string")
+    return lint_reasons(F.when(F.schema_of_variant(value) == "STRING", text), style)
+
+
 def clean_summary(c: Column, max_words: Column | int = MAX_WORDS) -> Column:
     """Whole sentences of a summary up to a number of words and eight sentences; generic if it is no prose."""
     most = max_words if isinstance(max_words, Column) else F.lit(max_words)
@@ -166,11 +172,27 @@ def clean_summary(c: Column, max_words: Column | int = MAX_WORDS) -> Column:
     return bound(bound(out, finished), closed)
 
 
-def fallback_caption(style: Column, summary: Column) -> Column:
-    """The caption of a style when nothing better is there; unknown styles get the cleaned summary."""
-    suffix = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), style)
-    with_suffix = F.concat(F.regexp_replace(clean_summary(summary, F.lit(MAX_WORDS) - word_count(suffix)), r"[.!?]+\z", ""), F.lit(", "), suffix, F.lit("."))
-    return F.when(suffix.isNull(), clean_summary(summary)).otherwise(with_suffix)
+def suffix_of(style: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), style)
+
+
+def fallback_caption(style: Column, summary: Column, cleaned: Column | None = None) -> Column:
+    """The caption of a style when nothing better is there; unknown styles get the cleaned summary.
+
+    cleaned: ``clean_summary(summary)`` where it is known already.  A summary
+    that has room for the suffix is the same under the suffix's limit, so it is
+    cleaned again only if it is too long.
+    """
+
+    def with_suffix(base: Column) -> Column:
+        def of(suffix: Column) -> Column:
+            most = F.lit(MAX_WORDS) - word_count(suffix)
+            short = F.when(token_count(base) <= most, base).otherwise(clean_summary(summary, most))
+            return F.when(suffix.isNull(), base).otherwise(F.concat(F.regexp_replace(short, r"[.!?]+\z", ""), F.lit(", "), suffix, F.lit(".")))
+
+        return bound(suffix_of(style), of)
+
+    return with_suffix(cleaned) if cleaned is not None else bound(clean_summary(summary), with_suffix)
 
 
 def avoid_excerpt(c: Column, limit: int = 600) -> Column:

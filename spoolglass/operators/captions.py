@@ -8,10 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoolglass.functions.text import fallback_caption, lint_reasons, similarity, stripped
+from spoolglass.functions.text import avoid_excerpt, clean_summary, fallback_caption, lint_reasons, similarity, stripped
+from spoolglass.plans.ladder import exhausted
 
 DIVERSITY_THRESHOLD = 0.72
 REPAIR_MARGIN = 0.03
+#: Captions that a repair is told to keep away from, at most.
+MAX_AVOIDED = 3
 FORMAL = "formal"
 
 
@@ -27,21 +30,27 @@ def initial_results(tasks: DataFrame) -> DataFrame:
 
 
 def fallback_captions(tasks: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Every requested style with the fallback on its task's summary (idx, factual_summary)."""
-    rows = requested(tasks).join(summaries.select("idx", "factual_summary"), "idx", "left")
-    return rows.select("idx", "task_id", "style_pos", "style", fallback_caption(F.col("style"), F.col("factual_summary")).alias("caption"))
+    """Every requested style with the fallback on its task's summary (idx, factual_summary), cleaned once for all styles."""
+    cleaned = summaries.select("idx", "factual_summary", clean_summary(F.col("factual_summary")).alias("cleaned"))
+    rows = requested(tasks).join(cleaned, "idx", "left")
+    base = F.coalesce("cleaned", clean_summary(F.lit(None).cast("string")))
+    return rows.select("idx", "task_id", "style_pos", "style", fallback_caption(F.col("style"), F.col("factual_summary"), base).alias("caption"))
 
 
 def complete_captions(wanted: DataFrame, candidates: DataFrame, keys: list[str], style: str = "style") -> DataFrame:
     """Left join of the wanted styles with candidate captions; those that lint rejects get the fallback.
 
-    wanted has the keys and factual_summary, candidates the keys (unique) and
-    caption.  Returns the keys, caption (stripped) and used_fallback.
+    wanted has the keys and factual_summary, and may have ``cleaned``, its
+    ``clean_summary`` (once for all styles of a task); candidates have the keys
+    (unique) and caption.  Returns the keys, caption (stripped) and
+    used_fallback.
     """
-    rows = wanted.join(candidates.select(*keys, "caption"), keys, "left")
-    ok = F.size(lint_reasons(F.col("caption"), F.col(style))) == 0
-    caption = F.when(ok, F.col("caption")).otherwise(fallback_caption(F.col(style), F.col("factual_summary")))
-    return rows.select(*keys, stripped(caption).alias("caption"), (~ok).alias("used_fallback"))
+    judged = candidates.select(*keys, "caption", (F.size(lint_reasons(F.col("caption"), F.col(style))) > 0).alias("used_fallback"))
+    rows = wanted.join(judged, keys, "left").withColumn("used_fallback", F.coalesce("used_fallback", F.lit(True)))
+    cleaned = F.col("cleaned") if "cleaned" in wanted.columns else None
+    fallback = fallback_caption(F.col(style), F.col("factual_summary"), cleaned)
+    caption = F.when(F.col("used_fallback"), fallback).otherwise(F.col("caption"))
+    return rows.select(*keys, stripped(caption).alias("caption"), "used_fallback")
 
 
 def missing_captions(wanted: DataFrame, captions: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,16 +89,27 @@ def accepts_repair(clean: Column, new_similarity: Column, old_similarity: Column
     return clean & (new_similarity + REPAIR_MARGIN < old_similarity)
 
 
+def avoided_captions(captions: DataFrame, targets: DataFrame, *, group: str = "task_id", pos: str = "style_pos") -> DataFrame:
+    """group, style, avoid: for each target (group, style) the excerpts of its group's first other captions, in order."""
+    own = captions.select(group, F.struct(pos, F.col("style").alias("of"), avoid_excerpt(F.col("caption")).alias("excerpt")).alias("x"))
+    rows = targets.select(group, "style").join(own, group).filter(F.col("style") != F.col("x.of"))
+    first = F.slice(F.array_sort(F.collect_list("x")), 1, MAX_AVOIDED)
+    return rows.groupBy(group, "style").agg(F.transform(first, lambda x: x["excerpt"]).alias("avoid"))
+
+
 def repaired(captions: DataFrame, proposals: DataFrame, *, group: str = "task_id", threshold: float = DIVERSITY_THRESHOLD) -> DataFrame:
     """Apply proposed captions one after the other: each is judged against what earlier repairs have left.
 
     captions: group, style_pos, style, caption; proposals: group, style,
-    caption.  A group is a task's few styles, so a group fits a row.
+    caption, and may have ``left``, the seconds that were left when the repair
+    began (null: no limit): the first repair without time ends a group's
+    repairs.  A group is a task's few styles, so a group fits a row.
     """
     from spoolglass.functions.text import sequence_similarity  # its plain function runs inside the group
 
     likeness = sequence_similarity.func
-    found = F.collect_list(F.struct("style", F.col("caption").alias("proposed"), (F.size(lint_reasons(F.col("caption"), F.col("style"))) == 0).alias("clean")))
+    late = F.coalesce(exhausted(F.col("left")), F.lit(False)) if "left" in proposals.columns else F.lit(False)
+    found = F.collect_list(F.struct("style", F.col("caption").alias("proposed"), (F.size(lint_reasons(F.col("caption"), F.col("style"))) == 0).alias("clean"), late.alias("late")))
     own = captions.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("style_pos", "style", "caption"))).alias("own"))
     rows = own.join(proposals.groupBy(group).agg(found.alias("offers")), group, "left")
     kind = captions.schema[group].dataType.simpleString()
@@ -99,6 +119,10 @@ def repaired(captions: DataFrame, proposals: DataFrame, *, group: str = "task_id
         same = next((i for i, (x, y) in enumerate(zip(left, right, strict=False)) if x != y), min(len(left), len(right)))
         return max(likeness(pd.Series([a]), pd.Series([b]))[0], same / max(1, min(len(left), len(right))))
 
+    def targets_of(order: list[str], now: dict[str, str]) -> list[str]:
+        pairs = ((a, b) for i, a in enumerate(order) for b in order[i + 1 :])
+        return list(dict.fromkeys(a if b == FORMAL else b for a, b in pairs if alike(now[a], now[b]) >= threshold))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
@@ -107,14 +131,10 @@ def repaired(captions: DataFrame, proposals: DataFrame, *, group: str = "task_id
                 now = {x["style"]: x["caption"] for x in own}
                 pos = {x["style"]: x["style_pos"] for x in own}
                 offered = {x["style"]: x for x in offers} if offers is not None else {}
-                targets = []
-                for i, a in enumerate(order):
-                    for b in order[i + 1 :]:
-                        target = a if b == FORMAL else b
-                        if target not in targets and alike(now[a], now[b]) >= threshold:
-                            targets.append(target)
-                for style in targets:
+                for style in targets_of(order, now):
                     offer = offered.get(style)
+                    if offer is not None and offer["late"]:
+                        break
                     others = [now[s] for s in order if s != style]
                     if offer is not None and offer["clean"] and others:
                         old, new = (max(alike(c, o) for o in others) for c in (now[style], offer["proposed"]))

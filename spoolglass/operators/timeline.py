@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from spoolglass.functions.arrays import hamming, min_gap, spread
+from spoolglass.functions.arrays import hamming, min_gap, spread, spread_places
 
 MAX_FRAMES, MIN_FRAMES, MAX_FRAME_BYTES, THUMBNAIL_BYTES = 30, 1, 640 * 1024, 256
 NEAR_DUPLICATE_BITS, SAMPLE_FPS = 8, 8
@@ -131,15 +131,10 @@ def chosen_places(times: list[float], kinds: list[str], desired: int) -> list[in
     if n <= desired:
         return list(range(n))
 
-    def evenly(places: list[int], share: int) -> list[int]:
-        most = min(len(places), max(2, desired // share))
-        if len(places) <= most:
-            return places
-        return [places[i] for i in sorted({round(k * (len(places) - 1) / (most - 1)) for k in range(most)})]
-
     seeds = [0, n - 1]
     for kind, share in (("key", 6), ("scene", 3), ("burst", 6)):
-        seeds += evenly([i for i in range(n) if kinds[i] == kind], share)
+        own = [i for i in range(n) if kinds[i] == kind]
+        seeds += [own[i] for i in spread_places(len(own), max(2, desired // share))]
     chosen = list(dict.fromkeys(seeds))[:desired]
     t, gap = np.array(times), np.full(n, np.inf)
     for i in chosen:

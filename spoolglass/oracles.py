@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from spoolglass.functions.text import GENERIC_SUMMARY
+from spoolglass import samples
+from spoolglass.functions.text import GENERIC_EXCLUSION, GENERIC_SUMMARY
 from spoolglass.operators.contracts import PIPELINE_VERSION, POLICY_VERSION
 
 SPACE = r"[\s\p{Z}]"
@@ -295,12 +296,36 @@ def oracle_sql() -> dict[str, str]:
         "dominant_speech": f"WITH {FRAMES} SELECT clip_id, dominant FROM dominance",
         "budget_timeouts": """SELECT o_orderkey, CASE WHEN x - 90 >= 1 THEN round(least(135, x - 90), 6) END AS timeout, x <= 1 AS exhausted FROM (SELECT o_orderkey, greatest(0, o_totalprice - 200000) AS x FROM orders)""",
         "perception_ladder": f"""WITH o AS (SELECT o_orderkey, o_orderkey AS k, o_totalprice % 300 AS x, (o_orderkey % 60) * 1048576 AS size FROM orders),
-            p AS (SELECT *, CASE WHEN k % 13 = 0 OR k % 11 = 0 THEN 'generic' WHEN k % 5 = 0 THEN 'url' WHEN x < 150 OR x - 20 < 125 THEN 'url' ELSE 'storyboard' END AS path FROM o),
-            f AS (SELECT *, CASE WHEN path = 'generic' THEN '{GENERIC_SUMMARY}' ELSE coalesce(CASE WHEN path = 'storyboard' AND k % 3 = 2 THEN 'from storyboard' END, CASE WHEN k % 4 > 1 THEN 'from url' END, CASE WHEN k % 5 > 1 AND size <= 48 * 1048576 THEN 'from base64' END, '{GENERIC_SUMMARY}') END AS summary FROM p)
-            SELECT o_orderkey, path, summary, summary = '{GENERIC_SUMMARY}' AS generic, CASE WHEN x < 90 THEN 'omitted' WHEN size > 0 AND size <= 24 * 1048576 THEN 'original' WHEN size - 20 * 1048576 > 0 AND size - 20 * 1048576 <= 24 * 1048576 THEN 'transcoded' ELSE 'omitted' END AS native_video,
-            CASE WHEN x >= 115 AND k % 2 <> 0 THEN 'said' END AS transcript FROM f""",
+            p AS (SELECT *, CASE WHEN k % 13 = 0 OR k % 11 = 0 THEN 'generic' WHEN k % 5 = 0 THEN 'url' WHEN x < 150 THEN 'deadline_url' WHEN k % 7 = 0 THEN 'download_failed' WHEN x - 20 < 125 THEN 'deadline_url' ELSE 'storyboard' END AS path,
+              k % 4 <> 1 AS url_came, k % 4 <> 1 AND NOT (k % 4 = 0 AND k % 8 <> 0) AS url_says, k % 5 > 1 AND size <= 48 * 1048576 AS clip_says FROM o),
+            f AS (SELECT *, CASE path WHEN 'generic' THEN 'g' WHEN 'url' THEN CASE WHEN url_says THEN 'u' WHEN clip_says THEN 'b' ELSE 'g' END
+              WHEN 'storyboard' THEN CASE WHEN k % 3 <> 1 THEN 's' WHEN url_says THEN 'u' WHEN clip_says THEN 'b' ELSE 'g' END ELSE CASE WHEN url_came THEN 'u' ELSE 'g' END END AS got FROM p),
+            a AS (SELECT *, CASE WHEN got = 's' AND k % 3 = 2 THEN 'from storyboard' WHEN got = 'u' AND k % 4 > 1 THEN 'from url' WHEN got = 'b' THEN 'from base64' ELSE '{GENERIC_SUMMARY}' END AS summary FROM f)
+            SELECT o_orderkey, path, summary, CASE WHEN got = 'u' AND k % 8 = 0 THEN 'other' WHEN summary = '{GENERIC_SUMMARY}' THEN '{GENERIC_EXCLUSION}' ELSE 'none' END AS exclusions, CASE WHEN got = 's' THEN (k % 100)::DOUBLE END AS duration,
+            summary = '{GENERIC_SUMMARY}' AS generic, CASE WHEN x < 90 THEN 'omitted' WHEN size > 0 AND size <= 24 * 1048576 THEN 'original' WHEN size - 20 * 1048576 > 0 AND size - 20 * 1048576 <= 24 * 1048576 THEN 'transcoded' ELSE 'omitted' END AS native_video,
+            CASE WHEN x >= 115 AND k % 2 <> 0 THEN 'said' END AS transcript FROM a""",
+        "storyboard_requests": """SELECT o_orderkey, (o_orderkey % 100)::DOUBLE AS duration, array_to_string(list_transform(range(0, o_orderkey % 3 + 1), lambda i: 't' || lpad((i * 1500)::VARCHAR, 6, '0') || '=data:' || i), ',') AS frames,
+            CASE WHEN o_orderkey % 2 = 0 THEN 'said' END AS transcript, round(least(135, o_totalprice % 200 - 90), 6) AS timeout FROM orders WHERE o_totalprice % 200 - 90 >= 1""",
+        "isolated_results": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '{GENERIC_SUMMARY}' ELSE 'Facts of ' || o_orderkey END AS summary, CASE WHEN o_orderkey % 4 = 0 THEN '{GENERIC_EXCLUSION}' ELSE 'nothing' END AS exclusions FROM orders""",
+        "caption_lint_values": f"""WITH v AS (SELECT id, style, caption::JSON AS j, caption::JSON ->> '$' AS c FROM {samples.as_values(samples.CAPTIONS)} AS t(id, style, caption))
+            SELECT id, CASE WHEN json_type(j) <> 'VARCHAR' THEN 'caption must be a string' ELSE array_to_string({reasons("c", "style")}, '; ') END AS reasons FROM v""",
+        "source_checks": f"""WITH v AS (SELECT *, {collapsed("transcript")} AS t FROM {samples.as_values(samples.SOURCES)} AS t(id, video_url, video_data_url, transcript, media))
+            SELECT id, CASE WHEN (coalesce(video_url, '') <> '') = (coalesce(video_data_url, '') <> '') THEN 'exactly one video source is required' END AS source,
+            CASE WHEN transcript IS NULL THEN 'proxy response missing transcript' WHEN length(t) > 6000 THEN 'proxy response transcript is oversized' END AS received,
+            CASE WHEN transcript <> '' AND (t = '' OR length(t) > 6000) THEN 'speech transcript is invalid' END AS sent,
+            CASE WHEN media <> '' AND NOT (starts_with(media, 'data:video/') AND contains(media[1:100], ';base64,')) THEN 'native video must be a video data URL' END AS video,
+            CASE WHEN NOT starts_with(media, 'data:audio/wav;base64,') THEN 'speech audio must be a WAV data URL' END AS audio, md5(nullif(t, '')) AS kept_md5 FROM v""",
+        "frame_checks": f"SELECT id, picture BETWEEN 1 AND 640 * 1024 AND thumbnail = 256 AS admissible FROM {samples.as_values(samples.FRAMES)} AS t(id, picture, thumbnail)",
+        "audio_metadata": """SELECT event_id, CASE WHEN event_id % 7 <> 0 AND NOT (event_id % 5 <> 0 AND (event_id % 700) / 1.1::DOUBLE BETWEEN 0.1 AND 600 AND event_id % 40 BETWEEN 1 AND 32) THEN 'invalid audio metadata' END AS error FROM events""",
+        "repair_avoid_lists": f"""WITH {DIALOGUE}, t AS (SELECT DISTINCT task_id, CASE WHEN rs = 'formal' THEN ls ELSE rs END AS style FROM scored WHERE lp < rp AND score >= 0.5),
+            c AS (SELECT conv_id AS task_id, turn, CASE WHEN turn = 2 THEN 'formal' ELSE 's' || turn END AS style, {collapsed("CASE WHEN turn % 2 = 0 THEN 'The same five words begin ' || text ELSE text END")} AS t FROM conversations),
+            e AS (SELECT task_id, turn, style, CASE WHEN length(t) <= 600 THEN t WHEN contains(t[1:600], ' ') THEN rtrim(regexp_extract(t[1:600], '^(.*) ', 1)) ELSE t[1:600] END AS excerpt FROM c),
+            r AS (SELECT t.task_id, t.style, excerpt, row_number() OVER (PARTITION BY t.task_id, t.style ORDER BY turn) AS n FROM t JOIN e ON e.task_id = t.task_id AND e.style <> t.style)
+            SELECT task_id, style, count(*) AS n, md5(string_agg(excerpt, '|' ORDER BY n)) AS avoid_md5 FROM r WHERE n <= 3 GROUP BY task_id, style""",
         "style_outcomes": """SELECT o_orderkey, CASE WHEN o_orderkey % 4 NOT IN (1, 2) THEN CASE WHEN o_orderkey % 3 = 0 THEN 'used_first' ELSE 'fallback' END
             WHEN o_orderkey % 4 = 1 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 THEN 'used_second' ELSE 'fallback' END AS outcome FROM orders""",
-        "exclusion_overlap": f"""WITH i AS (SELECT item_id, array_to_string(string_split({collapsed("text")}, ' ')[1:6], ' ') AS phrase FROM benchmark), w AS (SELECT doc_id, string_split({collapsed("text")}, ' ') AS w FROM documents),
-            d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 5], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 5) + 1)) AS i FROM w)) SELECT item_id, count(DISTINCT doc_id) AS n_documents FROM d JOIN i USING (phrase) GROUP BY 1""",
+        "exclusion_overlap": f"""WITH i AS (SELECT item_id, string_split(one, ' ') AS w, least(6, len(string_split(one, ' '))) AS n FROM (SELECT item_id, {collapsed("text")} AS one FROM benchmark) WHERE one <> ''),
+            p AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM i)), d AS (SELECT doc_id, string_split({collapsed("text")}, ' ') AS w FROM documents),
+            q AS (SELECT DISTINCT doc_id, n, array_to_string(w[s:s + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n))
+            SELECT item_id, count(DISTINCT doc_id) AS n_documents FROM q JOIN p USING (n, phrase) GROUP BY 1""",
     }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoolglass.functions.text import GENERIC_EXCLUSION, GENERIC_SUMMARY, is_transient, lint_reasons
+from spoolglass.functions.text import GENERIC_EXCLUSION, GENERIC_SUMMARY, bound, is_transient, lint_reasons
 
 # Fixed values of the gates, in seconds and bytes.
 MIN_REQUEST_SECONDS = 1.0
@@ -14,6 +16,9 @@ AUDIO_SECONDS, AUDIO_RESERVE_SECONDS = 25, 90
 MAX_VIDEO_BYTES, MAX_BASE64_BYTES, MAX_NATIVE_BYTES = 160 << 20, 48 << 20, 24 << 20
 STYLE_RETRIES, BACKOFF_SECONDS = 1, 0.35
 
+#: A facts packet as a row; what a packet doesn't have is null.
+FACTS_DDL = "struct<factual_summary:string,do_not_claim:array<string>,duration_seconds:double,scene_complexity:string,structured:variant>"
+
 
 def remaining(deadline: Column, now: Column) -> Column:
     return F.greatest(F.lit(0.0), deadline - now)
@@ -30,40 +35,84 @@ def exhausted(left: Column, reserve: float = 1.0) -> Column:
     return left <= reserve
 
 
-def first_path(url: Column, configured: Column, storyboard_first: Column, left: Column, left_after_download: Column) -> Column:
-    """The first thing to try: generic facts, the URL itself, or a downloaded storyboard."""
+def first_path(url: Column, configured: Column, storyboard_first: Column, left: Column, downloaded: Column, left_after_download: Column) -> Column:
+    """How a clip's facts are got.
+
+    ``generic``: nothing can be asked; ``url``: the URL, then the clip itself;
+    ``deadline_url``: there is time for one request with the URL, whatever it
+    gives; ``download_failed``: the URL, as there are no frames;
+    ``storyboard``: frames, then the URL, then the clip itself.  A null time
+    left is no limit.
+    """
     return (
         F.when(F.coalesce(url, F.lit("")) == "", "generic")
         .when(~configured, "generic")
         .when(~storyboard_first, "url")
-        .when(left < FULL_ENSEMBLE_SECONDS, "url")
-        .when(left_after_download < POST_DOWNLOAD_SECONDS, "url")
+        .when(left < FULL_ENSEMBLE_SECONDS, "deadline_url")
+        .when(~downloaded, "download_failed")
+        .when(left_after_download < POST_DOWNLOAD_SECONDS, "deadline_url")
         .otherwise("storyboard")
     )
 
 
-def facts_ladder(path: Column, storyboard: Column, url: Column, base64: Column, size: Column) -> Column:
-    """The first facts on the path that are there and not generic: storyboard, URL, base64 (clips small enough), generic."""
+def facts(summary: Column, exclusions: Column, duration: Column | None = None, complexity: Column | None = None, structured: Column | None = None) -> Column:
+    """A packet; null where the summary is (the request failed)."""
+    parts = {"factual_summary": summary, "do_not_claim": exclusions, "duration_seconds": duration, "scene_complexity": complexity, "structured": structured}
+    packet = F.struct(*[(F.lit(None) if c is None else c).alias(name) for name, c in parts.items()]).cast(FACTS_DDL)
+    return F.when(summary.isNotNull(), packet)
 
-    def real(c: Column) -> Column:
-        return F.when(c != GENERIC_SUMMARY, c)
 
-    small = F.when(size <= MAX_BASE64_BYTES, base64)
-    return (
-        F.when(path == "generic", F.lit(GENERIC_SUMMARY))
-        .when(path == "storyboard", F.coalesce(real(storyboard), real(url), real(small), F.lit(GENERIC_SUMMARY)))
-        .otherwise(F.coalesce(real(url), real(small), F.lit(GENERIC_SUMMARY)))
-    )
+def fallback_facts() -> Column:
+    return facts(F.lit(GENERIC_SUMMARY), F.array(F.lit(GENERIC_EXCLUSION)))
 
 
-def fallback_facts() -> Column:
-    return F.struct(F.lit(GENERIC_SUMMARY).alias("factual_summary"), F.array(F.lit(GENERIC_EXCLUSION)).alias("do_not_claim"))
+def is_fallback(packet: Column) -> Column:
+    """The fallback packet and nothing more: a generic summary with facts beside it is an answer."""
+    more = reduce(Column.__or__, [packet[name].isNotNull() for name in ("duration_seconds", "scene_complexity", "structured")])
+    same = (packet["factual_summary"] == GENERIC_SUMMARY) & (packet["do_not_claim"] == F.array(F.lit(GENERIC_EXCLUSION)))
+    return F.coalesce(same & ~more, F.lit(False))
 
 
 def is_generic(summary: Column) -> Column:
     return F.coalesce(summary == GENERIC_SUMMARY, F.lit(False))
 
 
+def storyboard_request(duration: Column, frames: Column, transcript: Column, native_video: Column, timeout: Column) -> Column:
+    """What is asked with a storyboard (frames: structs with frame_id and data_url); null if there is no time to ask."""
+    slim = F.transform(frames, lambda f: F.struct(f["frame_id"].alias("id"), f["data_url"].alias("data_url")))
+    fields = {"duration_seconds": duration, "frames": slim, "speech_transcript": transcript, "video_data_url": native_video, "timeout_seconds": timeout}
+    return F.when(timeout.isNotNull(), F.struct(*[c.alias(name) for name, c in fields.items()]))
+
+
+def storyboard_facts(received: Column, duration: Column) -> Column:
+    """The facts of a storyboard: the clip's measured duration replaces what the answer says of it."""
+    return F.when(received.isNotNull(), received.withField("duration_seconds", duration.cast("double")))
+
+
+def facts_ladder(path: Column, storyboard: Column, url: Column, base64: Column, size: Column) -> Column:
+    """The packet that a clip gets on its path; null packets are requests that failed.
+
+    An answer that is not the fallback ends the ladder.  The clip itself is
+    sent only where it is small enough, and the deadline and failed-download
+    paths end with the URL.
+    """
+
+    def real(packet: Column) -> Column:
+        return bound(packet, lambda p: F.when(~is_fallback(p), p))
+
+    small = F.when(size <= MAX_BASE64_BYTES, base64)
+    steps = {
+        "storyboard": [real(storyboard), real(url), real(small)],
+        "url": [real(url), real(small)],
+        "deadline_url": [url],
+        "download_failed": [url],
+    }
+    chosen = F.when(path == "generic", fallback_facts())
+    for name, packets in steps.items():
+        chosen = chosen.when(path == name, F.coalesce(*packets, fallback_facts()))
+    return chosen
+
+
 def native_video(left: Column, size: Column, transcoded_size: Column) -> Column:
     """original, transcoded or omitted."""
     return (

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spoolglass import samples
 from spoolglass.functions import text as T
 from spoolglass.functions.arrays import min_gap, spread
 from spoolglass.operators import captions as C
@@ -19,6 +20,7 @@ from spoolglass.operators import contracts as K
 from spoolglass.operators import signal as S
 from spoolglass.operators import timeline as L
 from spoolglass.plans import ladder as P
+from spoolglass.plans import storyboard
 from spoolglass.sources import files, urls
 from spoolglass.streaming.progress import latest
 
@@ -279,14 +281,44 @@ def json_props_validate(spark, sf):
     return table(spark, sf, "events").select("event_id", verdict.alias("verdict"))
 
 
+@query
+def caption_lint_values(spark, sf):
+    """Made-up captions that fire each rule, as JSON values of any type."""
+    rows = spark.createDataFrame(samples.CAPTIONS, "id int, style string, caption string")
+    return rows.select("id", F.array_join(T.lint_value(F.parse_json("caption"), F.col("style")), "; ").alias("reasons"))
+
+
+@query
+def source_checks(spark, sf):
+    rows = spark.createDataFrame(samples.SOURCES, "id int, video_url string, video_data_url string, transcript string, media string")
+    said = F.col("transcript")
+    errors = {"source": K.source_error(F.col("video_url"), F.col("video_data_url")), "received": K.transcript_error(said), "sent": K.transcript_error(said, True), "video": K.data_url_error(F.col("media"), "video"), "audio": K.data_url_error(F.col("media"), "audio")}
+    return rows.select("id", *[e.alias(name) for name, e in errors.items()], F.md5(K.transcript_received(said)).alias("kept_md5"))
+
+
+@query
+def frame_checks(spark, sf):
+    rows = spark.createDataFrame(samples.FRAMES, "id int, picture int, thumbnail int")
+    made = [F.repeat(F.lit("x"), F.col(c)).cast("binary") for c in ("picture", "thumbnail")]
+    return rows.select("id", L.admissible_frame(*made).alias("admissible"))
+
+
+@query
+def audio_metadata(spark, sf):
+    key = F.col("event_id")
+    duration, channels = F.when(key % 5 != 0, (key % 700) / F.lit(1.1)), F.when(key % 7 != 0, key % 40)
+    return table(spark, sf, "events").select("event_id", S.audio_metadata_error(duration, channels).alias("error"))
+
+
 # ---- joins of tasks and captions
 
 
 @query
 def complete_results(spark, sf):
-    styles = F.explode(F.array(F.lit("formal"), F.lit("sarcastic"), F.lit("humorous_tech")))
+    styles = F.explode(F.array(F.lit("formal"), F.lit("sarcastic"), F.lit("humorous_tech"))).alias("style")
     summary = F.concat(F.lit("An order of status "), F.col("o_orderstatus"), F.lit(" with priority "), F.col("o_orderpriority"), F.lit(" is on the desk."))
-    wanted = table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), summary.alias("factual_summary"), styles.alias("style"))
+    tasks = table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), summary.alias("factual_summary"))
+    wanted = tasks.withColumn("cleaned", T.clean_summary(F.col("factual_summary"))).select("*", styles)
     style = F.element_at(F.create_map(F.lit(1), F.lit("formal"), F.lit(2), F.lit("sarcastic"), F.lit(3), F.lit("humorous_tech")), F.col("l_linenumber"))
     said = F.concat(F.lit("The line was returned as "), F.col("l_returnflag"), F.lit(" and shipped"), F.when(F.col("l_linestatus") == "O", " and.").otherwise(" yesterday."))
     lines = table(spark, sf, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("idx"), style.alias("style"), said.alias("caption"))
@@ -317,6 +349,19 @@ def most_similar_prefix(spark, sf):
     return C.most_similar(dialogue_captions(spark, sf), score=T.prefix_similarity).select("task_id", "style_pos", F.round("most", 9).alias("most"))
 
 
+@query
+def repair_avoid_lists(spark, sf):
+    captions = dialogue_captions(spark, sf)
+    found = C.avoided_captions(captions, C.repair_targets(captions, threshold=0.5, score=T.prefix_similarity))
+    return found.select("task_id", "style", F.size("avoid").cast("long").alias("n"), F.md5(F.array_join("avoid", "|")).alias("avoid_md5"))
+
+
+@query
+def most_similar(spark, sf):
+    """With the full similarity, which no SQL has."""
+    return C.most_similar(dialogue_captions(spark, sf)).select("task_id", "style_pos", F.round("most", 9).alias("most"))
+
+
 @query
 def diversity_targets(spark, sf):
     """With the full similarity, which no SQL has."""
@@ -464,6 +509,17 @@ def choose_frames(spark, sf):
     return frames.join(clips.select("clip_id", "desired"), "clip_id").select("clip_id", F.explode(chosen).alias("f")).select("clip_id", "f.ts", "f.kind")
 
 
+@query
+def storyboards(spark, sf):
+    """The whole plan and choice of frames; pictures stand for what a decoder gives, each fourth of a clip like the one before."""
+    clips = event_clips(spark, sf)
+    log = F.array_join(F.transform("scenes", lambda t: F.concat(F.lit("pts_time:"), t.cast("decimal(12,3)").cast("string"))), "\n")
+    wanted = storyboard.plan(clips.select("clip_id", "duration", log.alias("scene_log")))
+    seed = F.sha2(F.concat_ws("-", F.col("clip_id").cast("string"), (F.col("frame") - F.when(F.col("frame") % 4 == 3, 1).otherwise(0)).cast("string")).cast("binary"), 512)
+    frames = wanted.select("clip_id", "desired", "ts", "kind", F.lit("x").cast("binary").alias("jpeg"), F.repeat(seed, F.lit(2)).cast("binary").alias("gray"))
+    return storyboard.select(frames).select("clip_id", F.explode("frames").alias("f")).select("clip_id", "f.frame_id", "f.kind")
+
+
 # ---- audio frames
 
 
@@ -516,14 +572,46 @@ def budget_timeouts(spark, sf):
 
 @query
 def perception_ladder(spark, sf):
+    """Packets of orders: answers, failed requests, the fallback itself, and generic summaries with something beside them."""
     key = F.col("o_orderkey")
     left = F.col("o_totalprice") % 300
-    path = P.first_path(F.when(key % 13 == 0, "").otherwise("http://v"), key % 11 != 0, key % 5 != 0, left, left - 20)
-    facts = [F.when(key % n == 0, F.lit(T.GENERIC_SUMMARY)).when(key % n == 1, F.lit(None).cast("string")).otherwise(F.lit(s)) for n, s in ((3, "from storyboard"), (4, "from url"), (5, "from base64"))]
+    path = P.first_path(F.when(key % 13 == 0, "").otherwise("http://v"), key % 11 != 0, key % 5 != 0, left, key % 7 != 0, left - 20)
+    none, generic = F.array(F.lit("none")), P.fallback_facts()
+    board = F.when(key % 3 == 0, generic).when(key % 3 == 2, P.facts(F.lit("from storyboard"), none, F.lit(1.0)))
+    other = P.facts(F.lit(T.GENERIC_SUMMARY), F.array(F.lit("other")))
+    direct = F.when(key % 8 == 0, other).when(key % 4 == 0, generic).when(key % 4 != 1, P.facts(F.lit("from url"), none))
+    whole = F.when(key % 5 == 0, generic).when(key % 5 != 1, P.facts(F.lit("from base64"), none))
     size = (key % 60) * (1 << 20)
-    chosen = P.facts_ladder(path, *facts, size)
-    native = P.native_video(left, size, size - (20 << 20))
-    return table(spark, sf, "orders").select("o_orderkey", path.alias("path"), chosen.alias("summary"), P.is_generic(chosen).alias("generic"), native.alias("native_video"), P.transcript(left, F.when(key % 2 == 0, "noise"), F.lit("said")).alias("transcript"))
+    chosen = P.facts_ladder(path, P.storyboard_facts(board, key % 100), direct, whole, size)
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", path.alias("path"), chosen.alias("p"), P.native_video(left, size, size - (20 << 20)).alias("native_video"), P.transcript(left, F.when(key % 2 == 0, "noise"), F.lit("said")).alias("transcript")
+    )
+    packet = F.col("p")
+    return rows.select(
+        "o_orderkey", "path", packet["factual_summary"].alias("summary"), F.array_join(packet["do_not_claim"], ";").alias("exclusions"), packet["duration_seconds"].alias("duration"),
+        P.is_generic(packet["factual_summary"]).alias("generic"), "native_video", "transcript",
+    )
+
+
+@query
+def storyboard_requests(spark, sf):
+    """What is asked with a storyboard, where there is time to ask."""
+    key = F.col("o_orderkey")
+    frames = F.transform(F.sequence(F.lit(0), (key % 3).cast("int")), lambda i: F.struct(L.frame_id(i * 1.5).alias("frame_id"), F.concat(F.lit("data:"), i.cast("string")).alias("data_url"), i.alias("rest")))
+    timeout = P.request_timeout(F.col("o_totalprice") % 200, 135.0, 90.0)
+    request = P.storyboard_request((key % 100).cast("double"), frames, F.when(key % 2 == 0, "said"), F.lit(None).cast("string"), timeout)
+    asked = F.array_join(F.transform(request["frames"], lambda f: F.concat_ws("=", f["id"], f["data_url"])), ",")
+    rows = table(spark, sf, "orders").filter(request.isNotNull())
+    return rows.select("o_orderkey", request["duration_seconds"].alias("duration"), asked.alias("frames"), request["speech_transcript"].alias("transcript"), F.round(request["timeout_seconds"], 6).alias("timeout"))
+
+
+@query
+def isolated_results(spark, sf):
+    """Tasks that failed get the fallback packet in their own place."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(key % 4 == 0, "broken").alias("error"), P.facts(F.concat(F.lit("Facts of "), key.cast("string")), F.array(F.lit("nothing"))).alias("facts"))
+    out = P.isolated(rows, "error", "facts", P.fallback_facts())
+    return out.select("o_orderkey", F.col("facts.factual_summary").alias("summary"), F.array_join("facts.do_not_claim", ";").alias("exclusions"))
 
 
 @query
@@ -537,19 +625,31 @@ def style_outcomes(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", P.style_outcome(first, error, second, again, F.lit("formal")).alias("outcome"))
 
 
+EXCLUSION_WORDS, EXCLUSION_BYTES = 6, 8 << 20
+
+
 @query
 def exclusion_overlap(spark, sf):
-    """Benchmark items as exclusions: how many documents hold an item's first six words as they stand."""
-    items = table(spark, sf, "benchmark").select("item_id", F.explode(F.array(F.array_join(F.slice(F.split(T.collapsed(F.col("text")), " "), 1, 6), " "))).alias("phrase"))
-    words = F.split(T.collapsed(F.col("text")), " ")
-    phrases = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 5)), lambda i: F.array_join(F.slice(words, i, F.lit(6)), " "))
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(phrases)).alias("phrase"))
-    return docs.join(F.broadcast(items) if items_bounded(items) else items, "phrase").groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"))
+    """Benchmark items as exclusions: how many documents hold a run of six of an item's words (all of a shorter one) as they stand."""
 
+    def phrases(words: Column, size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + 1))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " ")))
 
-def items_bounded(items: DataFrame, most: int = 100_000) -> bool:
-    """Whether the exclusions are few enough to send to every task."""
-    return items.limit(most + 1).count() <= most
+    words = F.split(T.collapsed(F.col("text")), " ")
+    items = table(spark, sf, "benchmark").select("item_id", words.alias("w")).filter(F.col("w")[0] != "")
+    items = items.select("item_id", F.least(F.size("w"), F.lit(EXCLUSION_WORDS)).alias("size"), F.explode(phrases(F.col("w"), EXCLUSION_WORDS)).alias("phrase"))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
+
+    def runs(n: int) -> Column:
+        found = F.transform(phrases(F.col("w"), n), lambda p: F.struct(F.lit(n).alias("size"), p.alias("phrase")))
+        return F.when(F.size("w") >= n, found).otherwise(F.array().cast("array<struct<size:int,phrase:string>>"))
+
+    docs = table(spark, sf, "documents").select("doc_id", words.alias("w"))
+    docs = docs.select("doc_id", F.explode(F.flatten(F.array(*map(runs, sizes)))).alias("x")).select("doc_id", "x.*")
+    few = (items.agg(F.sum(F.octet_length("phrase") + 16)).first()[0] or 0) <= EXCLUSION_BYTES
+    found = docs.join(F.broadcast(items) if few else items, ["size", "phrase"]).select("item_id", "doc_id").distinct()
+    return found.groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

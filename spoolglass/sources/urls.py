@@ -25,9 +25,10 @@ def host(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    """The path, percent-decoded; plus signs stay, and a path with a broken escape stays as it is."""
+    """The path, percent-decoded; plus signs and broken escapes stay as they are."""
     raw = F.regexp_extract(url, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    safe = F.regexp_replace(F.replace(raw, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(safe), raw)
 
 
 def file_name(url: Column) -> Column:

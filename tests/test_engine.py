@@ -11,7 +11,7 @@ from spoolglass.operators import signal as S
 from spoolglass.operators import timeline as L
 from spoolglass.plans import ladder as P
 from spoolglass.plans import storyboard
-from spoolglass.sources import config, files, urls
+from spoolglass.sources import config, files, limits, urls
 from spoolglass.sources.providers import Provider, style_provider
 from spoolglass.streaming.progress import current, upsert_stream
 
@@ -288,6 +288,21 @@ def test_repairs_see_earlier_ones(spark):
     assert {r.caption for r in C.repaired(captions, bad).collect()} == {same}
 
 
+def test_repairs_end_with_the_budget(spark):
+    same, fresh = "The dog walks along the quiet street today.", "Nobody expected such remarkable footwork from Rex."
+    captions = spark.createDataFrame([(1, 0, "formal", same), (1, 1, "sarcastic", same), (1, 2, "humorous_tech", same)], "task_id int, style_pos int, style string, caption string")
+    for left, repaired in ((1.0, same), (1.1, fresh), (None, fresh)):
+        offers = spark.createDataFrame([(1, "sarcastic", fresh, left)], "task_id int, style string, caption string, left double")
+        assert {r.style: r.caption for r in C.repaired(captions, offers).collect()} == {"formal": same, "sarcastic": repaired, "humorous_tech": same}
+
+
+def test_avoid_lists(spark):
+    rows = [(1, i, f"s{i}", f"caption {i} " + "x" * 700 * (i == 2)) for i in range(6)]
+    captions = spark.createDataFrame(rows, "task_id int, style_pos int, style string, caption string")
+    found = C.avoided_captions(captions, captions.filter("style in ('s1', 's5')"))
+    assert {r.style: r.avoid for r in found.collect()} == {"s1": ["caption 0", "caption 2", "caption 3"], "s5": ["caption 0", "caption 1", "caption 2"]}
+
+
 def test_formal_is_never_the_target(spark):
     same = "The dog walks along the quiet street today."
     captions = spark.createDataFrame([(1, 0, "sarcastic", same), (1, 1, "formal", same)], "task_id int, style_pos int, style string, caption string")
@@ -337,7 +352,7 @@ def test_speech_gate(spark):
 
 
 def test_urls(spark):
-    cases = [("ftp://h/a.mp4", False, ".mp4", "a.mp4"), ("HTTPS://h/A%20b+c.MoV?x", True, ".mov", "A b+c.MoV"), ("http://h/dir/", True, ".video", "dir"), ("http://h", True, ".video", "h"), ("http://h/%zz.mkv", True, ".mkv", "%zz.mkv"), ("", False, ".video", "video"), ("http://h/" + "x" * 120, True, ".video", "x" * 96), ("http://h/.webm", True, ".video", ".webm")]
+    cases = [("ftp://h/a.mp4", False, ".mp4", "a.mp4"), ("HTTPS://h/A%20b+c.MoV?x", True, ".mov", "A b+c.MoV"), ("http://h/dir/", True, ".video", "dir"), ("http://h", True, ".video", "h"), ("http://h/%zz.mkv", True, ".mkv", "%zz.mkv"), ("http://h/a%20b%zz%2.mp4", True, ".mp4", "a b%zz%2.mp4"), ("", False, ".video", "video"), ("http://h/" + "x" * 120, True, ".video", "x" * 96), ("http://h/.webm", True, ".video", ".webm")]
     df = spark.createDataFrame([(c[0],) for c in cases], "u string")
     row = df.select(urls.admitted(F.col("u")).alias("a"), urls.extension(F.col("u")).alias("e"), urls.clip_label(F.col("u")).alias("l")).collect()
     assert [tuple(r) for r in row] == [c[1:] for c in cases]
@@ -350,10 +365,63 @@ def test_ladders(spark):
     assert values(one, P.request_timeout(F.lit(9.9), 135.0, 9.0)) == [None]
     assert values(one, P.request_timeout(F.lit(500.0), 0.0)) == [None]
     assert values(one, P.exhausted(F.lit(1.0))) == [True]
-    none, generic = F.lit(None).cast("string"), F.lit("The specific subjects and actions are unclear.")
-    assert values(one, P.facts_ladder(F.lit("storyboard"), generic, none, F.lit("b"), F.lit(1))) == ["b"]
-    assert values(one, P.facts_ladder(F.lit("url"), F.lit("s"), none, F.lit("b"), F.lit(1 << 40))) == ["The specific subjects and actions are unclear."]
-    assert values(one, P.first_path(F.lit("u"), F.lit(True), F.lit(True), F.lit(150), F.lit(125))) == ["storyboard"]
+    made = [P.facts(F.lit(x), F.array(F.lit("n"))) for x in "sub"]
+    none, generic, more = F.lit(None).cast(P.FACTS_DDL), P.fallback_facts(), P.facts(F.lit("The specific subjects and actions are unclear."), F.array(F.lit("other")))
+
+    def said(path, storyboard, url, base64, size=1):
+        packet = values(one, P.facts_ladder(F.lit(path), storyboard, url, base64, F.lit(size)))[0]
+        return packet.factual_summary, packet.do_not_claim[0][:5], packet.duration_seconds
+
+    fallback = ("The specific subjects and actions are unclear.", "Speci", None)
+    assert said("storyboard", generic, none, made[2]) == ("b", "n", None)
+    assert said("storyboard", none, none, made[2], 1 << 40) == fallback
+    assert said("storyboard", P.storyboard_facts(generic, F.lit(7)), made[1], made[2])[2] == 7.0  # an answer, as it has a duration
+    assert said("storyboard", none, more, made[2])[1] == "other"  # not the fallback packet
+    assert said("url", made[0], generic, made[2]) == ("b", "n", None)
+    for path in ("deadline_url", "download_failed"):  # one request, and what it gives
+        assert said(path, made[0], made[1], made[2]) == ("u", "n", None)
+        assert said(path, made[0], none, made[2]) == said(path, made[0], generic, made[2]) == fallback
+    assert said("generic", *made) == fallback
+
+    def path(left, after, downloaded=True, first=True):
+        return values(one, P.first_path(F.lit("u"), F.lit(True), F.lit(first), F.lit(left), F.lit(downloaded), F.lit(after)))[0]
+
+    assert [path(150, 125), path(149.9, 140), path(150, 124.9), path(150, 125, False), path(10, 5, True, False)] == ["storyboard", "deadline_url", "deadline_url", "download_failed", "url"]
+
+
+def test_storyboard_requests(spark):
+    frames = F.array(F.struct(F.lit("t000001").alias("frame_id"), F.lit("d").alias("data_url"), F.lit(1).alias("kind")))
+    one = spark.range(1)
+    asked = values(one, P.storyboard_request(F.lit(3.5), frames, F.lit("said"), F.lit(None).cast("string"), F.lit(9.0)))[0]
+    assert asked.asDict(True) == {"duration_seconds": 3.5, "frames": [{"id": "t000001", "data_url": "d"}], "speech_transcript": "said", "video_data_url": None, "timeout_seconds": 9.0}
+    assert values(one, P.storyboard_request(F.lit(3.5), frames, F.lit("said"), F.lit("v"), F.lit(None).cast("double"))) == [None]
+    got = P.storyboard_facts(P.facts(F.lit("s"), F.array(F.lit("n")), F.lit(1.0)), F.lit(3.5))
+    assert values(one, got["duration_seconds"]) == [3.5]
+
+
+def test_download_limits(tmp_path):
+    clock = iter(range(1000)).__next__
+    assert b"".join(limits.checked([b"ab", b"c"], 3, 3, 100, clock)) == b"abc"
+    for chunks, declared, most, seconds in (([b"a"], 9, 3, 100), ([b"ab", b"cd"], None, 3, 100), ([b"a"] * 50, None, 99, 10), ([], None, 0, 1), ([], None, 1, 0)):
+        with pytest.raises(limits.LimitError):
+            list(limits.checked(chunks, declared, most, seconds, clock))
+    target = tmp_path / "folder" / "clip.mp4"
+    with pytest.raises(limits.LimitError):
+        limits.save(limits.checked([b"ab", b"cd"], None, 3, 100, clock), str(target))
+    assert list(target.parent.iterdir()) == []
+    assert limits.save([b"ab", b"c"], str(target)) == 3 and target.read_bytes() == b"abc" and len(list(target.parent.iterdir())) == 1
+
+
+def test_seeks_stop_with_the_budget():
+    now, seen = [0.0], []
+
+    def seek(item, timeout):
+        seen.append((item, timeout))
+        now[0] += 3.0
+        return None if item == 1 else item
+
+    assert limits.within_budget(range(20), seek, 20.0, 4.0, 1.0, lambda: now[0]) == [0, 2, 3, 4, 5, 6]
+    assert seen[-1] == (6, 2.0)
 
 
 def test_providers_keep_failed_rows(spark):
@@ -392,6 +460,9 @@ def test_settings():
     for bad in ({"RUN_DEADLINE_SECONDS": "0"}, {"RUN_DEADLINE_SECONDS": "x"}, {"STORYBOARD_PERCEPTION_ENABLED": "maybe"}):
         with pytest.raises(files.ContractError):
             config.load(bad)
+    assert config.load({"MAX_CLIP_CONCURRENCY": " +7 ", "STORYBOARD_PERCEPTION_ENABLED": "off", "CAPTION_PROXY_ACCESS_ID": "", "CAPTION_PROXY_TOKEN": "t"}) == config.Settings(proxy_access_id="t", clip_concurrency=7)
+    with pytest.raises(files.ContractError, match="RUN_DEADLINE_SECONDS must be a positive integer; STORYBOARD_PERCEPTION_ENABLED must be a boolean"):
+        config.load({"RUN_DEADLINE_SECONDS": "-3", "STORYBOARD_PERCEPTION_ENABLED": "2"})
 
 
 def test_timings(spark):
