@@ -13,8 +13,6 @@ all but ``REJECT_SHARE`` of a language's own texts of the length is rejected.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoolglass.llm.common import as_batch, cut_lineage, pieces
+from spoolglass.llm.common import as_batch, cut_lineage, pieces, row_keys
+from spoolglass.llm.language_counts import CLOSE, DISCOUNT, LETTERS, OPEN, ORDER, gram_counts
+from spoolglass.llm.language_tables import Tables
 
-ORDER = 4
-DISCOUNT = 0.75
 #: How sharply differences of cross-entropy turn into a score.
 SHARPNESS = 12.0
 #: Share of a language's own texts that may be rejected; one training document in CALIBRATION_SHARE sets the limits.
@@ -35,13 +33,11 @@ REJECT_SHARE, CALIBRATION_SHARE = 0.005, 16
 STEADY_CHARS, REJECT_MARGIN = 400, 0.1
 #: Texts that a language needs for limits of its own; with fewer it has the widest of the others', or this many nats.
 CALIBRATION_TEXTS, REJECT_DEFAULT = 20, 1.0
-OPEN, CLOSE = "\x02", "\x03"
 UNKNOWN = "und"
 MEMO_WORDS = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
-FLUSH_WORDS, FLUSH_GRAMS = 300_000, 600_000
+#: Distinct n-grams times languages of a model that may be collected and broadcast: 100 MB at most.
+MODEL_CELLS = 1 << 23
 
-GRAM_SCHEMA = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_()), ("cross_entropy", pa.float64())])
 DDL = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean, cross_entropy double"
 
@@ -51,44 +47,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def grams_of(words: Counter, order: int, into: Counter) -> None:
-    pad = OPEN * (order - 1)
-    for word, n in words.items():
-        text = f"{pad}{word}{CLOSE}"
-        for i in range(len(word) + 1):
-            into[text[i : i + order]] += n
-
-
-def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, gram, n over all rows: counted in the tasks, then summed by key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-        grams: dict[str, Counter] = {}
-
-        def fold() -> None:
-            for lang, found in words.items():
-                grams_of(found, order, grams.setdefault(lang, Counter()))
-            words.clear()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, found in grams.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], schema=GRAM_SCHEMA)
-            grams.clear()
-
-        for batch in pieces(batches):
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-            if sum(map(len, words.values())) > FLUSH_WORDS:
-                fold()
-                if sum(map(len, grams.values())) > FLUSH_GRAMS:
-                    yield from out()
-        fold()
-        yield from out()
-
-    return labelled.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
 def hashes(codes: np.ndarray) -> np.ndarray:
     """One 64-bit hash for each row of code points."""
     h = np.full(len(codes), 0x9E3779B97F4A7C15 + codes.shape[1], np.uint64)
@@ -238,21 +196,19 @@ class Identifier:
         return rows
 
 
-def train(labelled: DataFrame, order: int = ORDER) -> Model:
-    """The model of all rows (text, lang), from every n-gram of every language: one row for each reaches the driver."""
-    found = gram_counts(labelled, order).toArrow()
+def train(counts: DataFrame, order: int = ORDER) -> Model:
+    """The model of the counts (lang, gram, n), all of which reach the driver."""
+    found = counts.toArrow()
     lang = found.column("lang").to_pylist()
     langs = sorted(set(lang))
     number = {x: i for i, x in enumerate(langs)}
     return Model(langs, np.array([number[x] for x in lang], np.int64), found.column("gram").to_pylist(), found.column("n").to_numpy(), order)
 
 
-def calibrated(model: Model, rows: DataFrame) -> Model:
-    """The model with limits from rows (text, lang) that it hasn't counted: those it gives their own language."""
-    if not model.langs:
-        return model
+def own_entropies(model: Model, rows: DataFrame) -> DataFrame:
+    """lang (its number), entropy, chars of the rows (text, lang) to which the model gives their own language."""
     shared, number = rows.sparkSession.sparkContext.broadcast(model), {x: i for i, x in enumerate(model.langs)}
-    schema = pa.schema([("lang", pa.int32()), ("entropy", pa.float64()), ("root", pa.float64())])
+    schema = pa.schema([("lang", pa.int32()), ("entropy", pa.float64()), ("chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(shared.value)
@@ -260,25 +216,57 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
             texts, out = batch.column("text").to_pylist(), []
             for text, lang, (found, _, _, entropy) in zip(texts, batch.column("lang").to_pylist(), identifier.texts(texts), strict=True):
                 if found == lang:
-                    out.append((number[lang], entropy, math.sqrt(min(STEADY_CHARS, sum(len(w) + 1 for w in LETTERS.findall(text.lower()))))))
+                    out.append((number[lang], entropy, sum(len(w) + 1 for w in LETTERS.findall(text.lower()))))
             yield as_batch(out, schema)
 
-    scored = cut_lineage(rows.select("text", "lang").mapInArrow(run, "lang int, entropy double, root double"))
+    return rows.select("text", "lang").mapInArrow(run, "lang int, entropy double, chars long")
+
+
+def limits(own: DataFrame) -> dict[int, tuple[float, float]]:
+    """Mean cross-entropy and reach of each language (one row each), from its own texts (lang, entropy, chars)."""
+    scored = cut_lineage(own.select("lang", "entropy", F.sqrt(F.least("chars", F.lit(STEADY_CHARS))).alias("root")))
     means = scored.groupBy("lang").agg(F.count("*").alias("n"), F.avg("entropy").alias("mean")).filter(F.col("n") >= CALIBRATION_TEXTS)
     far = (F.col("entropy") - F.col("mean")) * F.col("root")
-    limits = scored.join(F.broadcast(means), "lang").groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx(far, 1 - REJECT_SHARE, 10_000).alias("reach")).collect()
-    if limits:
-        model.reach[:] = max(r["reach"] for r in limits)
-        for r in limits:
-            model.mean[r["lang"]], model.reach[r["lang"]] = r["mean"], max(0.0, r["reach"])
+    rows = scored.join(F.broadcast(means), "lang").groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx(far, 1 - REJECT_SHARE, 10_000).alias("reach")).collect()
+    return {r["lang"]: (r["mean"], max(0.0, r["reach"])) for r in rows}
+
+
+def calibrated(model: Model, rows: DataFrame) -> Model:
+    """The model with limits from rows (text, lang) that it hasn't counted: those it gives their own language."""
+    if model.langs and (found := limits(own_entropies(model, rows))):
+        model.reach[:] = max(reach for _, reach in found.values())
+        for i, (mean, reach) in found.items():
+            model.mean[i], model.reach[i] = mean, reach
     return model
 
 
-def identify(docs: DataFrame, *, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify_by_tables(rows: DataFrame, tables: Tables, to_calibrate: DataFrame) -> DataFrame:
+    """As ``identify``, for rows (doc_id, text, held_out), by joins; to_calibrate has key, text and lang."""
+    langs, size = F.array(*map(F.lit, tables.langs)), len(tables.langs)
+    best = F.array_position("entropy", F.array_min("entropy")).cast("int")
+    own = tables.entropies(to_calibrate.select("key", "text")).join(to_calibrate.select("key", "lang"), "key")
+    own = own.filter(langs[best - 1] == F.col("lang")).select((best - 1).alias("lang"), F.array_min("entropy").alias("entropy"), "chars")
+    found = limits(own)
+    widest = max((reach for _, reach in found.values()), default=REJECT_DEFAULT * math.sqrt(STEADY_CHARS))
+    means = tables.means() if len(found) < size else [0.0] * size
+    mean, reach = zip(*[found.get(i, (means[i], widest)) for i in range(size)], strict=True)
+    limit = F.array(*map(F.lit, mean))[best - 1] + F.array(*map(F.lit, reach))[best - 1] / F.sqrt(F.least("chars", F.lit(STEADY_CHARS))) + REJECT_MARGIN
+    weight = F.aggregate("entropy", F.lit(0.0), lambda total, x: total + F.exp((x - F.array_min("entropy")) * -SHARPNESS))
+    named, key = row_keys(rows)
+    named = named.withColumn("key", F.col(key))
+    lowest = F.array_min("entropy")
+    scored = tables.entropies(named.select("key", "text")).select("key", langs[best - 1].alias("lang_pred"), (1 / weight).alias("score"), (lowest <= limit).alias("accepted"), lowest.alias("cross_entropy"))
+    out = named.select("key", "doc_id", "held_out").join(scored, "key", "left")
+    return out.select("doc_id", "held_out", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("accepted", F.lit(False)).alias("accepted"), "cross_entropy")
+
+
+def identify(docs: DataFrame, *, order: int = ORDER, model_cells: int = MODEL_CELLS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Train on the labelled rows outside the held-out fold, predict all rows.
 
     Of the rows to train on one in ``CALIBRATION_SHARE``, by a hash of its id,
-    is not counted but sets the limits of rejection.
+    is not counted but sets the limits of rejection.  A model of at most
+    ``model_cells`` (distinct n-grams times languages) is broadcast; a larger
+    one stays in tables, with the same results up to rounding.
     Returns doc_id, held_out, lang_pred, score (0 to 1), accepted,
     cross_entropy (nats a character).  A null text, or one without a letter,
     is ``und`` with score 0, as is every text when no row is labelled.  Rows
@@ -288,7 +276,12 @@ def identify(docs: DataFrame, *, order: int = ORDER, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"), held_out(F.col(id_col)).alias("held_out"))
     labelled = rows.filter(~F.col("held_out") & F.col("lang").isNotNull())
     sets_limits = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 4) % CALIBRATION_SHARE == 0
-    model = calibrated(train(labelled.filter(~sets_limits).select("text", "lang"), order), labelled.filter(sets_limits))
+    counts = cut_lineage(gram_counts(labelled.filter(~sets_limits).select("text", "lang"), order))
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if counts.select("gram").distinct().count() * len(langs) > model_cells:
+        to_calibrate, key = row_keys(labelled.filter(sets_limits))
+        return identify_by_tables(rows.select("doc_id", "text", "held_out"), Tables(counts, langs, order), to_calibrate.withColumn("key", F.col(key)))
+    model = calibrated(train(counts, order), labelled.filter(sets_limits))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

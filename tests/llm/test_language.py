@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 from conftest_llm import ODD
 
-from spoolglass.llm.language import CLOSE, DISCOUNT, OPEN, STEADY_CHARS, Identifier, Model, calibrated, gram_counts, grams_of, hashes, identify, train
+from spoolglass.llm.language import STEADY_CHARS, Identifier, Model, calibrated, hashes, identify, train
+from spoolglass.llm.language_counts import CLOSE, DISCOUNT, OPEN, gram_counts, grams_of
 
 
 def test_model_matches_the_definition():
@@ -68,9 +69,27 @@ def test_held_out_accuracy(spark, table):
     assert by[6001].lang_pred in ("aa", "bb", "cc") and not by[6001].accepted
 
 
+def test_tables_give_what_the_broadcast_model_gives(spark, table):
+    docs, lang = corpus(700)
+    lang |= {9000: "dd", 9003: "dd", 9004: "dd"}  # a language without limits of its own
+    strange = [(9000, "zu za zo"), (9003, "zo zi"), (9004, "za zi zu"), (6000, "12 34!"), (6001, "zzqq xxyy " * 20), (6002, "ka" * 4000 + " lo mi"), (6003, "\U00020000\U00020001 é 漢字²")]
+    odd = [(i + 5000 if i else i, t) for i, t in ODD]
+    rows = table(docs + odd + strange + docs[:3], lang.get)
+    order = ("doc_id", "cross_entropy", "held_out")
+    small = identify(rows).orderBy(*order).collect()
+    tables = identify(rows, model_cells=0).orderBy(*order).collect()
+    assert len(tables) == len(small) == len(docs) + len(odd) + len(strange) + 3
+    assert {r.lang_pred for r in small} >= {"aa", "bb", "cc", "dd", "und"}
+    for a, b in zip(small, tables, strict=True):
+        assert (a.doc_id, a.held_out, a.lang_pred, a.accepted) == (b.doc_id, b.held_out, b.lang_pred, b.accepted)
+        assert np.isclose(a.score, b.score, atol=1e-3)
+        assert a.cross_entropy == b.cross_entropy or np.isclose(a.cross_entropy, b.cross_entropy, atol=1e-4)
+
+
 def test_no_labels(spark, table):
     assert {r.lang_pred for r in identify(table(ODD)).collect()} == {"und"}
     assert identify(table([])).count() == 0
+    assert identify(table([]), model_cells=0).count() == 0
 
 
 def test_model_holds_every_gram(spark):
@@ -79,7 +98,7 @@ def test_model_holds_every_gram(spark):
     expected = {lang: Counter() for _, lang in rows}
     for text, lang in rows:
         grams_of(Counter(text.split()), 4, expected[lang])
-    model = train(spark.createDataFrame(rows, "text string, lang string"))
+    model = train(gram_counts(spark.createDataFrame(rows, "text string, lang string")))
     assert len(model.levels[-1].keys) == len(set().union(*expected.values()))
     found = {lang: Counter({r.gram: r.n for r in gram_counts(spark.createDataFrame([(t, x) for t, x in rows if x == lang], "text string, lang string")).collect()}) for lang in expected}
     assert found == expected
@@ -89,7 +108,7 @@ def test_limits_come_from_rows_that_are_not_counted(spark):
     docs, lang = corpus(900)
     rows = [(t, lang[i]) for i, t in docs]
     frame = lambda part: spark.createDataFrame(part, "text string, lang string")
-    model = calibrated(train(frame(rows[:400])), frame(rows[400:700]))
+    model = calibrated(train(gram_counts(frame(rows[:400]))), frame(rows[400:700]))
     for i, name in enumerate(model.langs):
         own = [t for t, x in rows[400:700] if x == name]
         found = [r for r in Identifier(model).texts(own) if r[0] == name]
