@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from conftest_llm import ODD, words
 
+from spoolglass.llm.common import Bloom
 from spoolglass.llm.graph import components
 from spoolglass.llm.repeats import WordMemo
 from spoolglass.llm.simhash import KINDS, BKTree, Parities, WordPrints, fingerprint, first_of_similar, in_block_pairs, jaccard, near_duplicates, parity, part_prints, shingle_set, similar_documents
@@ -82,6 +83,37 @@ def test_long_chains_and_hubs_connect(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_tasks_by_their_edges(spark):
+    """Each task of each step costs files: 60 partitions of few edges took 7,452 tasks."""
+    edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 180)]
+    context, settings = spark.sparkContext, {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    context.setJobGroup("components", "tasks by edges")
+    try:
+        found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+        tracker = context.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("components")]
+        tasks = sum(s.numCompletedTasks for j in jobs for s in map(tracker.getStageInfo, j.stageIds) if s)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert found == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 180)}
+    assert jobs and 0 < tasks < 800
+
+
+def test_filters_of_few_keys_are_small(spark):
+    """The driver and each executor write a file of what is broadcast: 8 MB a filter, whatever its keys."""
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 3_000)
+    packed = Bloom.of(spark.createDataFrame([(int(k),) for k in keys[:2_000]], "id long"), "id")
+    held = Bloom.holds(Bloom.opened(packed), keys)
+    assert held[:2_000].all() and held[2_000:].sum() < 10
+    assert len(packed) < 1 << 16
+
+
 def test_word_prints():
     text = "a b a c " * 300 + " ".join(words(700, 1))
     counts = {}
