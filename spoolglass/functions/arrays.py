@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spread(values: Column, limit: Column | int) -> Column:
     """Up to ``limit`` evenly spaced values: all if they are few, the middle one for one, ends included for more."""
     most = F.lit(limit) if isinstance(limit, int) else limit
@@ -44,13 +51,18 @@ def hamming(a: Column, b: Column) -> Column:
 
 def bright_bits(values: Column) -> Column:
     """A fingerprint: for each value whether it reaches the mean, packed into 64-bit words, the first value lowest."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    words = F.sequence(F.lit(0), F.greatest(F.ceil(n / 64).cast("int") - 1, F.lit(0)))
+    def packed(values: Column, mean: Column) -> Column:
+        words = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / 64).cast("int") - 1, F.lit(0)))
+
+        def word(w: Column) -> Column:
+            part = F.slice(values, w * 64 + 1, F.lit(64))
+            bits = F.transform(part, lambda v, i: F.when(v >= mean, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+            return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+        return F.transform(words, word)
 
-    def word(w: Column) -> Column:
-        part = F.slice(values, w * 64 + 1, F.lit(64))
-        bits = F.transform(part, lambda v, i: F.when(v >= mean, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    def mean(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(values)
 
-    return F.transform(words, word)
+    # Both are computed once, and not again for every value.
+    return bound(values, lambda v: bound(mean(v), lambda m: packed(v, m)))

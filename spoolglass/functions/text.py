@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from spoolglass.functions.arrays import bound
+
 # Limits, labels, texts and phrases that results have to agree on.
 MIN_WORDS, MAX_WORDS, MAX_SENTENCES = 6, 300, 8
 GENERIC_SUMMARY = "The specific subjects and actions are unclear."
@@ -58,11 +60,6 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def matches_any(c: Column, patterns: tuple[str, ...], flags: str = "U") -> Column:
     found = c.rlike(f"(?{flags}){patterns[0]}")
     for p in patterns[1:]:

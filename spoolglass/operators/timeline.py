@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from spoolglass.functions.arrays import hamming, min_gap, spread, spread_places
 
@@ -112,6 +112,14 @@ def admissible_frame(jpeg: Column, thumbnail: Column) -> Column:
     return (F.length(jpeg) > 0) & (F.length(jpeg) <= MAX_FRAME_BYTES) & (F.length(thumbnail) == THUMBNAIL_BYTES)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def thumbnail_print(gray: pd.Series) -> pd.Series:
+    """``bright_bits`` of the bytes of admissible thumbnails."""
+    values = np.frombuffer(b"".join(gray), np.uint8).reshape(-1, THUMBNAIL_BYTES)
+    bits = values >= values.mean(axis=1, keepdims=True, dtype=np.float64)
+    return pd.Series(list(np.packbits(bits, axis=1, bitorder="little").view("<i8")))
+
+
 def distinct_frames(frames: Column, bits: int = NEAR_DUPLICATE_BITS) -> Column:
     """Frames (structs with ts, ord and print) by time, without those within ``bits`` of any kept before.
 
@@ -154,6 +162,10 @@ def chosen_udf(times: pd.Series, kinds: pd.Series, desired: pd.Series) -> pd.Ser
     return pd.Series([chosen_places(list(t), list(k), int(d)) for t, k, d in zip(times, kinds, desired, strict=True)])
 
 
+# To the optimiser it is not deterministic: a filter on its result (explode adds one) would have to run the choice, and all it reads, in itself.
+chosen_udf = chosen_udf.asNondeterministic()
+
+
 def choose_frames(frames: Column, desired: Column) -> Column:
     """``desired`` of the frames (structs with ts first, and kind), by time; of equally far frames the earliest.
 

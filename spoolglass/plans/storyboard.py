@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolglass.functions.arrays import bright_bits
-from spoolglass.operators.timeline import MAX_FRAMES, admissible_frame, candidate_pool, choose_frames, desired_frames, distinct_frames, frame_id, quantized, scene_times, valid_duration
+from spoolglass.operators.timeline import MAX_FRAMES, admissible_frame, candidate_pool, choose_frames, desired_frames, distinct_frames, frame_id, quantized, scene_times, thumbnail_print, valid_duration
 
 
 def plan(clips: DataFrame, max_frames: int = MAX_FRAMES) -> DataFrame:
@@ -23,8 +22,7 @@ def select(extracted: DataFrame) -> DataFrame:
     joined on at the sink by clip and frame_id.
     """
     rows = extracted.filter(admissible_frame(F.col("jpeg"), F.col("gray")))
-    grey = F.transform(F.sequence(F.lit(1), F.length("gray")), lambda i: F.conv(F.hex(F.substring(F.col("gray"), i, F.lit(1))), 16, 10).cast("int"))
-    rows = rows.select("clip_id", "desired", F.struct("ts", F.col("kind").alias("kind"), frame_id(F.col("ts")).alias("frame_id"), bright_bits(grey).alias("print")).alias("f"))
+    rows = rows.select("clip_id", "desired", F.struct("ts", F.col("kind").alias("kind"), frame_id(F.col("ts")).alias("frame_id"), thumbnail_print(F.col("gray")).alias("print")).alias("f"))
     clips = rows.groupBy("clip_id").agg(F.collect_list("f").alias("frames"), F.max("desired").alias("desired"))
     kept = clips.select("clip_id", "desired", distinct_frames(F.col("frames")).alias("kept"))
     slim = F.transform("kept", lambda f: F.struct(f["ts"].alias("ts"), f["kind"].alias("kind"), f["frame_id"].alias("frame_id")))
