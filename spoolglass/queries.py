@@ -418,7 +418,7 @@ def log_lines(spark, sf):
 
 
 def event_clips(spark, sf) -> DataFrame:
-    """clip_id, duration, scenes of each user's events, 4,500 times as fast, and faster by the user's last digit."""
+    """clip_id, duration, seconds and scenes of each user's events, 4,500 times as fast, and faster by the user's last digit."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = table(spark, sf, "events").select("user_id", "event_id", micros.alias("at"), F.col("event_type").alias("kind"))
     user = rows.groupBy("user_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
@@ -428,7 +428,12 @@ def event_clips(spark, sf) -> DataFrame:
     pick = (F.col("kind") == "signup") & (F.col("event_id") % (F.col("user_id") % 7 + 2) == 0)
     times = rows.join(user, "user_id").groupBy("user_id").agg(F.max(duration).alias("duration"), F.collect_list(F.when(pick, second)).alias("t"))
     inside = F.filter("t", lambda x: (x > L.SCENE_MARGIN) & (x < F.col("duration") - L.SCENE_MARGIN))
-    return times.filter(L.valid_duration(F.col("duration"))).select(F.col("user_id").alias("clip_id"), "duration", min_gap(F.transform(inside, lambda x: F.bround(x, 3)), L.SCENE_GAP).alias("scenes"))
+    return times.filter(L.valid_duration(F.col("duration"))).select(F.col("user_id").alias("clip_id"), "duration", F.col("t").alias("seconds"), min_gap(F.transform(inside, lambda x: F.bround(x, 3)), L.SCENE_GAP).alias("scenes"))
+
+
+def decoder_log(before: str, after: str = "") -> Column:
+    """The seconds as a decoder tells them, with every digit: margins and milliseconds are the reader's business."""
+    return F.array_join(F.transform("seconds", lambda t: F.concat(F.lit(f"{before}pts_time:"), t.cast("decimal(38,20)").cast("string"), F.lit(after))), "\n")
 
 
 def budgeted(spark, sf) -> DataFrame:
@@ -443,7 +448,7 @@ def scene_times(spark, sf):
 @query
 def scene_log_times(spark, sf):
     """The same times read back from a decoder's log."""
-    log = F.array_join(F.transform("scenes", lambda t: F.concat(F.lit("[showinfo] n:0 pts_time:"), t.cast("decimal(12,3)").cast("string"), F.lit(" pos:1"))), "\n")
+    log = decoder_log("[showinfo] n:0 ", " pos:1")
     rows = event_clips(spark, sf).select("clip_id", L.scene_times(log, F.col("duration")).alias("found"))
     return rows.select("clip_id", F.size("found").cast("long").alias("n"), F.round(F.aggregate("found", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
@@ -513,8 +518,7 @@ def choose_frames(spark, sf):
 def storyboards(spark, sf):
     """The whole plan and choice of frames; pictures stand for what a decoder gives, each fourth of a clip like the one before."""
     clips = event_clips(spark, sf)
-    log = F.array_join(F.transform("scenes", lambda t: F.concat(F.lit("pts_time:"), t.cast("decimal(12,3)").cast("string"))), "\n")
-    wanted = storyboard.plan(clips.select("clip_id", "duration", log.alias("scene_log")))
+    wanted = storyboard.plan(clips.select("clip_id", "duration", decoder_log("").alias("scene_log")))
     seed = F.sha2(F.concat_ws("-", F.col("clip_id").cast("string"), (F.col("frame") - F.when(F.col("frame") % 4 == 3, 1).otherwise(0)).cast("string")).cast("binary"), 512)
     frames = wanted.select("clip_id", "desired", "ts", "kind", F.lit("x").cast("binary").alias("jpeg"), F.repeat(seed, F.lit(2)).cast("binary").alias("gray"))
     return storyboard.select(frames).select("clip_id", F.explode("frames").alias("f")).select("clip_id", "f.frame_id", "f.kind")
