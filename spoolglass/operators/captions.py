@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from contextlib import suppress
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spoolglass.functions.matching import ratios
 from spoolglass.functions.text import avoid_excerpt, clean_summary, fallback_caption, lint_reasons, similarity, stripped
 from spoolglass.plans.ladder import exhausted
 
@@ -16,6 +19,8 @@ REPAIR_MARGIN = 0.03
 #: Captions that a repair is told to keep away from, at most.
 MAX_AVOIDED = 3
 FORMAL = "formal"
+#: Groups of captions that a worker repairs side by side.
+GROUPS_AT_ONCE = 256
 
 
 def requested(tasks: DataFrame) -> DataFrame:
@@ -58,8 +63,15 @@ def missing_captions(wanted: DataFrame, captions: DataFrame, keys: list[str]) ->
     return wanted.join(captions.filter(stripped(F.col("caption")) != "").select(*keys), keys, "left_anti")
 
 
+def dealt_out(rows: DataFrame, group: str) -> DataFrame:
+    """The rows by group over all cores: what is done for each pair is costly, and the texts themselves are too few bytes to be split."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), group)
+
+
 def caption_pairs(captions: DataFrame, group: str, pos: str, score) -> DataFrame:
     """Pairs of a group's captions in order, with ``score(left, right)``: a self-join on the group."""
+    captions = dealt_out(captions, group)
     left = captions.select(group, *[F.col(c).alias(f"left_{c}") for c in captions.columns if c != group])
     right = captions.select(group, *[F.col(c).alias(f"right_{c}") for c in captions.columns if c != group])
     pairs = left.join(right, group).filter(F.col(f"left_{pos}") < F.col(f"right_{pos}"))
@@ -79,6 +91,7 @@ def repair_targets(captions: DataFrame, *, group: str = "task_id", pos: str = "s
 
 def most_similar(captions: DataFrame, *, group: str = "task_id", pos: str = "style_pos", score=similarity) -> DataFrame:
     """group, pos, most: each caption's greatest similarity to another of its group."""
+    captions = dealt_out(captions, group)
     other = captions.select(group, F.col(pos).alias("_pos"), F.col("caption").alias("_caption"))
     pairs = captions.join(other, group).filter(F.col(pos) != F.col("_pos"))
     return pairs.groupBy(group, pos).agg(F.max(score(F.col("caption"), F.col("_caption"))).alias("most"))
@@ -97,6 +110,14 @@ def avoided_captions(captions: DataFrame, targets: DataFrame, *, group: str = "t
     return rows.groupBy(group, "style").agg(F.transform(first, lambda x: x["excerpt"]).alias("avoid"))
 
 
+def likeness(pairs: list[tuple[str, str]]) -> list[float]:
+    """``similarity`` of each pair, on a worker."""
+    tokens = [(a.lower().split(), b.lower().split()) for a, b in pairs]
+    alike = np.maximum(ratios([(" ".join(a), " ".join(b)) for a, b in tokens]), ratios(tokens)).tolist()
+    starts = [[x == y for x, y in zip(a[:8], b[:8], strict=False)] for a, b in tokens]
+    return [max(x, (same.index(False) if False in same else len(same)) / max(1, len(same))) for x, same in zip(alike, starts, strict=True)]
+
+
 def repaired(captions: DataFrame, proposals: DataFrame, *, group: str = "task_id", threshold: float = DIVERSITY_THRESHOLD) -> DataFrame:
     """Apply proposed captions one after the other: each is judged against what earlier repairs have left.
 
@@ -105,42 +126,47 @@ def repaired(captions: DataFrame, proposals: DataFrame, *, group: str = "task_id
     began (null: no limit): the first repair without time ends a group's
     repairs.  A group is a task's few styles, so a group fits a row.
     """
-    from spoolglass.functions.text import sequence_similarity  # its plain function runs inside the group
-
-    likeness = sequence_similarity.func
     late = F.coalesce(exhausted(F.col("left")), F.lit(False)) if "left" in proposals.columns else F.lit(False)
     found = F.collect_list(F.struct("style", F.col("caption").alias("proposed"), (F.size(lint_reasons(F.col("caption"), F.col("style"))) == 0).alias("clean"), late.alias("late")))
-    own = captions.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("style_pos", "style", "caption"))).alias("own"))
+    own = dealt_out(captions, group).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("style_pos", "style", "caption"))).alias("own"))
     rows = own.join(proposals.groupBy(group).agg(found.alias("offers")), group, "left")
     kind = captions.schema[group].dataType.simpleString()
 
-    def alike(a: str, b: str) -> float:
-        left, right = a.lower().split()[:8], b.lower().split()[:8]
-        same = next((i for i, (x, y) in enumerate(zip(left, right, strict=False)) if x != y), min(len(left), len(right)))
-        return max(likeness(pd.Series([a]), pd.Series([b]))[0], same / max(1, min(len(left), len(right))))
-
-    def targets_of(order: list[str], now: dict[str, str]) -> list[str]:
-        pairs = ((a, b) for i, a in enumerate(order) for b in order[i + 1 :])
-        return list(dict.fromkeys(a if b == FORMAL else b for a, b in pairs if alike(now[a], now[b]) >= threshold))
+    def repairs(order: list[str], now: dict[str, str], offered: dict[str, dict]) -> Generator[list[tuple[str, str]], list[float], None]:
+        """The repairs of a group, made in ``now``; yields the pairs whose likeness it has to know next."""
+        seen = [(a, b) for i, a in enumerate(order) for b in order[i + 1 :]]
+        scores = yield [(now[a], now[b]) for a, b in seen]
+        for style in dict.fromkeys(a if b == FORMAL else b for (a, b), score in zip(seen, scores, strict=True) if score >= threshold):
+            offer = offered.get(style)
+            if offer is not None and offer["late"]:
+                break
+            others = [now[s] for s in order if s != style]
+            if offer is not None and offer["clean"] and others:
+                scores = yield [(c, o) for c in (now[style], offer["proposed"]) for o in others]
+                old, new = max(scores[: len(others)]), max(scores[len(others) :])
+                if new + REPAIR_MARGIN < old:
+                    now[style] = offer["proposed"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, own, offers in frame.itertuples(index=False):
-                order = [x["style"] for x in own]
-                now = {x["style"]: x["caption"] for x in own}
-                pos = {x["style"]: x["style_pos"] for x in own}
-                offered = {x["style"]: x for x in offers} if offers is not None else {}
-                for style in targets_of(order, now):
-                    offer = offered.get(style)
-                    if offer is not None and offer["late"]:
-                        break
-                    others = [now[s] for s in order if s != style]
-                    if offer is not None and offer["clean"] and others:
-                        old, new = (max(alike(c, o) for o in others) for c in (now[style], offer["proposed"]))
-                        if new + REPAIR_MARGIN < old:
-                            now[style] = offer["proposed"]
-                out += [(key, pos[s], s, now[s]) for s in order]
-            yield pd.DataFrame(out, columns=[group, "style_pos", "style", "caption"])
+        for whole in frames:
+            for at in range(0, len(whole), GROUPS_AT_ONCE):
+                groups, going = [], []
+                for key, own, offers in whole.iloc[at : at + GROUPS_AT_ONCE].itertuples(index=False):
+                    order, now = [x["style"] for x in own], {x["style"]: x["caption"] for x in own}
+                    groups.append((key, order, {x["style"]: x["style_pos"] for x in own}, now))
+                    steps = repairs(order, now, {x["style"]: x for x in offers} if offers is not None else {})
+                    going.append((steps, next(steps), {}))
+                # One step of all groups at a time, so that their pairs are scored together, each once.
+                while going:
+                    asked = [(known, pair) for _, pairs, known in going for pair in dict.fromkeys(pairs) if pair not in known]
+                    for (known, pair), score in zip(asked, likeness([pair for _, pair in asked]), strict=True):
+                        known[pair] = score
+                    still = []
+                    for steps, pairs, known in going:
+                        with suppress(StopIteration):
+                            still.append((steps, steps.send([known[pair] for pair in pairs]), known))
+                    going = still
+                out = [(key, pos[s], s, now[s]) for key, order, pos, now in groups for s in order]
+                yield pd.DataFrame(out, columns=[group, "style_pos", "style", "caption"])
 
     return rows.mapInPandas(run, f"{group} {kind}, style_pos int, style string, caption string")
