@@ -6,14 +6,15 @@ Every class in a pattern is Unicode-aware (``(?U)``).
 from __future__ import annotations
 
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from spoolglass.functions.arrays import bound
+from spoolglass.functions.matching import ratios
 
 # Limits, labels, texts and phrases that results have to agree on.
 MIN_WORDS, MAX_WORDS, MAX_SENTENCES = 6, 300, 8
@@ -226,17 +227,17 @@ def prefix_similarity(left: Column, right: Column) -> Column:
     return shared / F.greatest(F.lit(1), n)
 
 
+def folded(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
 @F.pandas_udf(DoubleType())
 def sequence_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """The larger of the matching ratios of characters and of tokens; the order of the sides matters."""
-
-    def one(a: str | None, b: str | None) -> float | None:
-        if a is None or b is None:
-            return None
-        a, b = (" ".join(x.lower().split()) for x in (a, b))
-        return max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, a.split(), b.split()).ratio())
-
-    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+    pairs = [None if a is None or b is None else (folded(a), folded(b)) for a, b in zip(left, right, strict=True)]
+    known = [p for p in pairs if p is not None]
+    found = iter(np.maximum(ratios(known), ratios([(a.split(), b.split()) for a, b in known])).tolist())
+    return pd.Series([None if p is None else next(found) for p in pairs], dtype="float64")
 
 
 def similarity(left: Column, right: Column) -> Column:
