@@ -6,9 +6,12 @@ never for a number; an absent key and a null one stay apart.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoolglass.functions.arrays import bound
 from spoolglass.functions.text import collapsed, stripped
 
 # Fixed values of the contracts.
@@ -27,15 +30,15 @@ MAX_DURATION, MAX_PASSES, MAX_EXCERPT, MAX_TRANSCRIPT = 600, 6, 600, 6_000
 class Json:
     """A VARIANT column and the questions the contracts ask of it."""
 
-    def __init__(self, c: Column) -> None:
-        self.c = c
+    def __init__(self, c: Column, kind: Column | None = None, fields: dict[str, Json] | None = None) -> None:
+        self.c, self.kind, self.fields = c, kind, fields or {}
 
     def __getitem__(self, key: str) -> Json:
-        return Json(F.call_function("variant_get", self.c, F.lit(f"$.{key}")))
+        return self.fields.get(key) or Json(F.call_function("variant_get", self.c, F.lit(f"$.{key}")))
 
     @property
     def type(self) -> Column:
-        return F.coalesce(F.schema_of_variant(self.c), F.lit("ABSENT"))
+        return F.coalesce(F.schema_of_variant(self.c), F.lit("ABSENT")) if self.kind is None else self.kind
 
     @property
     def present(self) -> Column:
@@ -98,6 +101,16 @@ class Json:
         return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def opened(value: Column, keys: tuple[str, ...], body: Callable[[Json], Column]) -> Column:
+    """``body`` of a VARIANT that is parsed once, with these fields and their types read once, however often it asks."""
+
+    def read(c: Column) -> Column:
+        v = Json(c)
+        return F.struct(c.alias("v"), v.type.alias("t"), *[x for k in keys for x in (v[k].c.alias(f"v_{k}"), v[k].type.alias(f"t_{k}"))])
+
+    return bound(value, lambda c: bound(read(c), lambda x: body(Json(x["v"], x["t"], {k: Json(x[f"v_{k}"], x[f"t_{k}"]) for k in keys}))))
+
+
 def first_broken(rules: list[tuple[Column, Column | str]]) -> Column:
     """The message of the first rule that is broken."""
     out = None
@@ -113,7 +126,10 @@ def sentence(*parts: Column | str) -> Column:
 
 
 def task_error(task: Column, index: Column) -> Column:
-    t, at = Json(task), index.cast("string")
+    return opened(task, ("task_id", "video_url", "styles"), lambda t: _task_error(t, index.cast("string")))
+
+
+def _task_error(t: Json, at: Column) -> Column:
     name = t["task_id"].text
     styles = t["styles"]
     return first_broken(
@@ -129,7 +145,10 @@ def task_error(task: Column, index: Column) -> Column:
 
 def result_error(result: Column, index: Column, task_id: Column, styles: Column) -> Column:
     """A result against the task at the same position: its id and the array of styles it asked for."""
-    r, at = Json(result), index.cast("string")
+    return opened(result, ("task_id", "captions"), lambda r: _result_error(r, index.cast("string"), task_id, styles))
+
+
+def _result_error(r: Json, at: Column, task_id: Column, styles: Column) -> Column:
     given = F.coalesce(F.when(r["captions"].is_object, F.try_variant_get(r["captions"].c, "$", "map<string,variant>")), F.create_map().cast("map<string,variant>"))
     lacking = F.filter(styles, lambda s: ~Json(F.try_element_at(given, s)).said)
     return first_broken(
@@ -161,7 +180,10 @@ def first_error(rows: DataFrame, key: str, index: str = "idx", error: str = "err
 
 
 def facts_error(facts: Column) -> Column:
-    v = Json(facts)
+    return opened(facts, ("factual_summary", "do_not_claim", "duration_seconds", "scene_complexity"), _facts_error)
+
+
+def _facts_error(v: Json) -> Column:
     duration, complexity = v["duration_seconds"], v["scene_complexity"]
     present = F.size(F.array_intersect(v.keys, F.array(*map(F.lit, STRUCTURED_FIELDS))))
     return first_broken(
@@ -185,8 +207,14 @@ def normal_facts(facts: Column) -> Column:
     return F.struct(stripped(v["factual_summary"].text).alias("factual_summary"), exclusions.alias("do_not_claim"), v["duration_seconds"].number.alias("duration_seconds"), v["scene_complexity"].text.alias("scene_complexity"), *free)
 
 
+ATTEMPT_FIELDS = ("model", "outcome", "error", "validation_error", "finish_reason", "prompt_tokens", "completion_tokens", "reasoning_tokens", "audio_seconds", "cost_usd", "duration_ms", "stage", "response_excerpt")
+
+
 def attempt_error(attempt: Column) -> Column:
-    v = Json(attempt)
+    return opened(attempt, ATTEMPT_FIELDS, _attempt_error)
+
+
+def _attempt_error(v: Json) -> Column:
     outcome, error, code = v["outcome"], v["error"], v["validation_error"]
     counts = [v[k] for k in ("prompt_tokens", "completion_tokens", "reasoning_tokens")]
     costs = [v[k] for k in ("audio_seconds", "cost_usd")]
@@ -214,13 +242,25 @@ def attempt_error(attempt: Column) -> Column:
     )
 
 
+METADATA_FIELDS = ("policy_version", "pipeline_version", "model", "fallback_used", "attempts", "perception_passes", "source_kind", "ensemble_mode", *EVIDENCE)
+
+
 def metadata_error(response: Column, expected_source: str | None = None) -> Column:
-    v = Json(response)
+    def judged(a: Column) -> Column:
+        return F.struct(Json(a)["outcome"].text.alias("outcome"), stripped(Json(a)["model"].text).alias("model"), attempt_error(a).alias("error"))
+
+    def of(v: Json) -> Column:
+        lists = F.struct(*[F.transform(v[k].items, judged).alias(k) for k in ("attempts", "perception_passes")])
+        return bound(lists, lambda x: _metadata_error(v, x["attempts"], x["perception_passes"], expected_source))
+
+    return opened(response, METADATA_FIELDS, of)
+
+
+def _metadata_error(v: Json, tried: Column, passed: Column, expected_source: str | None) -> Column:
+    """tried and passed: outcome, model and error of each of the attempts and passes."""
     attempts, passes, kind = v["attempts"], v["perception_passes"], v["source_kind"]
-    outcomes = F.transform(attempts.items, lambda a: Json(a)["outcome"].text)
-    models = F.transform(attempts.items, lambda a: stripped(Json(a)["model"].text))
-    attempt_errors = F.array_compact(F.transform(attempts.items, attempt_error))
-    pass_errors = F.array_compact(F.transform(passes.items, attempt_error))
+    outcomes, models = F.transform(tried, lambda a: a["outcome"]), F.transform(tried, lambda a: a["model"])
+    attempt_errors, pass_errors = (F.filter(F.transform(x, lambda a: a["error"]), lambda e: e.isNotNull()) for x in (tried, passed))
     used = F.filter(outcomes, lambda o: o == "used")
     last, first = F.try_element_at(models, F.lit(-1)), F.try_element_at(models, F.lit(1))
     inconsistent = "proxy response contains inconsistent evidence metadata"
@@ -230,7 +270,7 @@ def metadata_error(response: Column, expected_source: str | None = None) -> Colu
         (~v["pipeline_version"].text.eqNullSafe(PIPELINE_VERSION), sentence(f"proxy pipeline mismatch: expected {PIPELINE_VERSION}, received ", F.coalesce(F.nullif(v["pipeline_version"].text, F.lit("")), F.lit("missing")))),
         (~v["model"].said, "proxy response missing model metadata"),
         (~v["fallback_used"].is_bool, "proxy response missing fallback metadata"),
-        (~attempts.is_array | (F.size(attempts.items) == 0), "proxy response missing attempt metadata"),
+        (~attempts.is_array | (F.size(tried) == 0), "proxy response missing attempt metadata"),
         (F.size(attempt_errors) > 0, F.get(attempt_errors, F.lit(0))),
         ((F.size(used) != 1) | ~F.try_element_at(outcomes, F.lit(-1)).eqNullSafe("used"), "proxy response contains inconsistent attempt metadata"),
         (~last.eqNullSafe(stripped(v["model"].text)) | (v["fallback_used"].flag != (last != first)), "proxy response contains inconsistent model metadata"),
@@ -244,8 +284,8 @@ def metadata_error(response: Column, expected_source: str | None = None) -> Colu
     ]
     if expected_source == "storyboard":
         rules += [
-            (~F.exists(passes.items, lambda a: Json(a)["outcome"].text == "used"), "proxy response missing storyboard pass metadata"),
-            (F.size(passes.items) > MAX_PASSES, "proxy response contains too many storyboard passes"),
+            (~F.exists(passed, lambda a: a["outcome"] == "used"), "proxy response missing storyboard pass metadata"),
+            (F.size(passed) > MAX_PASSES, "proxy response contains too many storyboard passes"),
             (F.exists(F.array(*[v[f].c.isNull() for f in EVIDENCE if f != "reconciliation_used"]), lambda x: x), "proxy response missing evidence metadata"),
         ]
     rules += [

@@ -271,7 +271,9 @@ def metadata_errors(spark, sf):
         head + board + flags + ',"ensemble_mode":"never"}',
     ]
     response = F.element_at(F.array(*map(F.lit, made)), (kind + 1).cast("int"))
-    return table(spark, sf, "events").select("event_id", K.metadata_error(F.parse_json(response), "storyboard").alias("error"))
+    # The rules are the work, and a file of many rows has few row groups: the ids are dealt out to all cores.
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table(spark, sf, "events").select("event_id").repartition(parts).select("event_id", K.metadata_error(F.parse_json(response), "storyboard").alias("error"))
 
 
 @query
