@@ -86,8 +86,12 @@ def sentences(c: Column) -> Column:
     t = F.regexp_replace(t, rf"(?iU)\b({ABBREVIATIONS})\.", f"$1{MARK}")
     # A run of initials: each that another follows, then the last one.
     t = F.regexp_replace(t, r"(?U)\b([A-Z])\.(?=\s*\b[A-Z]\.)", f"$1{MARK}")
-    last = F.regexp_replace(t, rf"(?U)(?<=\b[A-Z]{MARK}\s{{0,99}})\b([A-Z])\.", f"$1{MARK}")
-    t = F.when(t.rlike(f"[A-Z]{MARK}"), last).otherwise(t)  # the look-behind is slow, and few texts have initials
+
+    def with_last(t: Column) -> Column:
+        last = F.regexp_replace(t, rf"(?U)(?<=\b[A-Z]{MARK}\s{{0,99}})\b([A-Z])\.", f"$1{MARK}")
+        return F.when(t.rlike(f"[A-Z]{MARK}"), last).otherwise(t)  # the look-behind is slow, and few texts have initials
+
+    t = bound(t, with_last)
     t = F.regexp_replace(t, r"(?U)\b([A-Z])\.(?=\s+[A-Z][A-Za-z'-]+)", f"$1{MARK}")
     parts = F.regexp_extract_all(t, F.lit(r"(?U)[^.!?]+[.!?]+(?:[\"'](?=\s|\z))?|[^.!?]+\z"), F.lit(0))
     return F.filter(F.transform(parts, lambda s: stripped(F.translate(s, MARK, "."))), lambda s: s != "")
